@@ -254,3 +254,35 @@ def terms_sql(expr: str, distinct: bool = True) -> str:
         f"lambda s: s NOT IN ({generic}) AND length(s) > 2)"
     )
     return f"list_sort(list_distinct({listed}))" if distinct else listed
+shared(
+    "refs",
+    """SELECT id AS paragraph_id, circular_id, text, raw_reference,
+  trim(regexp_replace(replace(upper(raw_reference), '-', '/'), '/{2,}', '/', 'g'), '/.') AS normalised_reference,
+  char_start + instr(text, raw_reference) - 1 AS char_start,
+  char_start + instr(text, raw_reference) - 1 + length(raw_reference) AS char_end
+FROM (SELECT id, circular_id, text, char_start, regexp_extract(text, '(SEBI|CIR)/[A-Z0-9/]+', 0) AS raw_reference FROM paragraphs)
+WHERE raw_reference <> ''""",
+)
+shared(
+    "citations",
+    """SELECT citing_circular_id, citing_paragraph_id, raw_reference, normalised_reference,
+  coalesce(n, d) AS cited_circular_id, coalesce(n, d) IS NOT NULL AS resolved,
+  CASE WHEN n IS NOT NULL THEN 'regex' WHEN d IS NOT NULL THEN 'date' ELSE 'unresolved' END AS resolution_method,
+  char_start, char_end, text
+FROM (SELECT r.circular_id AS citing_circular_id, paragraph_id AS citing_paragraph_id, raw_reference,
+    normalised_reference, char_start, char_end, text, c.id AS n,
+    CASE WHEN contains(text, ' dated ') THEN u.id END AS d
+  FROM refs r LEFT JOIN circulars c ON c.circular_number = r.normalised_reference
+  LEFT JOIN (SELECT issue_date, min(id) AS id FROM circulars WHERE issue_date IS NOT NULL GROUP BY 1 HAVING count(*) = 1) u
+    ON strftime(u.issue_date, '%B %d, %Y') = regexp_extract(text, 'dated ([A-Z][a-z]+ \\d+, \\d+)', 1))
+WHERE coalesce(n, d) IS NULL OR coalesce(n, d) <> citing_circular_id""",
+)
+shared(
+    "supersessions",
+    """SELECT c.citing_circular_id AS superseding_circular_id, c.cited_circular_id AS superseded_circular_id,
+  c.raw_reference, c.citing_paragraph_id AS evidence_paragraph_id, c.char_start,
+  CASE WHEN contains(c.text, 'stands superseded') THEN 'supersedes' ELSE 'partial' END AS supersession_type,
+  k.issue_date AS effective_date, c.resolved, c.citing_circular_id AS edge_id
+FROM citations c JOIN circulars k ON k.id = c.citing_circular_id
+WHERE contains(c.text, 'stands superseded') OR contains(c.text, 'partially modified')""",
+)
