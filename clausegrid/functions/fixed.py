@@ -233,3 +233,7 @@ LIST_PRICES = (
     ("meta-llama/llama-4-scout-17b-16e-instruct", 0.11, 0.34),
     ("meta-llama/llama-4-maverick-17b-128e-instruct", 0.20, 0.60),
 )
+
+# --- encoder ----------------------------------------------------------------------------
+VECTOR_DIM = 384
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "

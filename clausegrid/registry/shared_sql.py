@@ -286,3 +286,107 @@ shared(
 FROM citations c JOIN circulars k ON k.id = c.citing_circular_id
 WHERE contains(c.text, 'stands superseded') OR contains(c.text, 'partially modified')""",
 )
+
+
+def occurrences_sql(table: str, key: str, text: str = "text") -> str:
+    """One row per content word of each text with its place among all words."""
+    from clausegrid.functions import fixed as K
+
+    stops = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+    generic = ", ".join(f"'{w}'" for w in K.GENERIC_WORDS)
+    return f"""SELECT {key}, pos, term FROM (SELECT {key}, pos,
+    CASE WHEN w LIKE '%ing' AND length(w) >= 7 THEN left(w, length(w) - 3)
+      WHEN w LIKE '%ed' AND length(w) >= 6 THEN left(w, length(w) - 2)
+      WHEN w LIKE '%es' AND length(w) >= 6 THEN left(w, length(w) - 2)
+      WHEN w LIKE '%s' AND length(w) >= 5 THEN left(w, length(w) - 1) ELSE w END AS term
+  FROM (SELECT {key}, unnest(ws) AS w, unnest(range(len(ws))) AS pos
+    FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z][a-z\\-]+') AS ws FROM {table}))
+  WHERE w NOT IN ({stops})) WHERE term NOT IN ({generic}) AND length(term) > 2"""
+
+
+shared("chunk_words", occurrences_sql("(SELECT doc_id AS chunk_id, text FROM documents)", "chunk_id"))
+shared(
+    "query_words",
+    "SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, term FROM ("
+    + occurrences_sql("(SELECT item_id AS query_id, text FROM benchmark)", "query_id")
+    + "))",
+)
+shared(
+    "cover_hits",
+    """SELECT h.*, m.n_terms FROM (SELECT query_id, chunk_id, pos, term FROM query_words JOIN chunk_words USING (term)) h
+JOIN (SELECT query_id, chunk_id, any_value(n_terms) AS n_terms FROM query_words JOIN (SELECT DISTINCT chunk_id, term FROM chunk_words) USING (term)
+  GROUP BY 1, 2 HAVING count(*) = any_value(n_terms)) m USING (query_id, chunk_id)""",
+)
+shared(
+    "lexical_scores",
+    """SELECT query_id, chunk_id, sum(0.1::DOUBLE / (1 + pos - start - (hits - 1))) AS score
+FROM (SELECT *, lag(start, 1, -1) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS opened,
+    (SELECT count(*) FROM cover_hits k WHERE k.query_id = e.query_id AND k.chunk_id = e.chunk_id AND k.pos BETWEEN e.start AND e.pos) AS hits
+  FROM (SELECT query_id, chunk_id, pos, min(lp) AS start FROM (
+      SELECT a.query_id, a.chunk_id, a.pos, a.n_terms, b.term, max(b.pos) AS lp
+      FROM cover_hits a JOIN cover_hits b USING (query_id, chunk_id) WHERE b.pos <= a.pos GROUP BY ALL)
+    GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_terms)) e)
+WHERE start <> opened GROUP BY 1, 2""",
+)
+_SLOT = "('0x' || substr(md5(term), 1, 8))::BIGINT % 384"
+shared(
+    "chunk_slots",
+    f"""SELECT chunk_id, slot, tf, sqrt(sum(tf * tf) OVER (PARTITION BY chunk_id)) AS norm
+FROM (SELECT chunk_id, {_SLOT} AS slot, count(*)::DOUBLE AS tf FROM chunk_words GROUP BY 1, 2)""",
+)
+shared(
+    "query_slots",
+    f"""SELECT query_id, slot, tf, sqrt(sum(tf * tf) OVER (PARTITION BY query_id)) AS norm
+FROM (SELECT query_id, {_SLOT} AS slot, count(*)::DOUBLE AS tf FROM ("""
+    + occurrences_sql(
+        "(SELECT item_id AS query_id, 'Represent this sentence for searching relevant passages: ' || text AS text FROM benchmark)",
+        "query_id",
+    )
+    + ") GROUP BY 1, 2)",
+)
+shared(
+    "dense_scores",
+    """SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS score
+FROM (SELECT DISTINCT query_id FROM query_slots) CROSS JOIN (SELECT DISTINCT chunk_id FROM chunk_slots)
+LEFT JOIN (SELECT query_id, chunk_id, sum(q.tf / q.norm * (c.tf / c.norm)) AS s FROM query_slots q JOIN chunk_slots c USING (slot) GROUP BY 1, 2)
+  USING (query_id, chunk_id)""",
+)
+shared(
+    "dense_hits",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense_scores) WHERE rank <= 50""",
+)
+shared(
+    "lexical_hits",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lexical_scores) WHERE rank <= 50""",
+)
+shared(
+    "fused_hits",
+    """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank
+FROM (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, min(dense) AS dense_rank, min(lexical) AS lexical_rank
+  FROM (SELECT query_id, chunk_id, rank, rank AS dense, NULL AS lexical FROM dense_hits
+    UNION ALL SELECT query_id, chunk_id, rank, NULL, rank FROM lexical_hits) GROUP BY 1, 2)""",
+)
+shared(
+    "query_sets",
+    f"SELECT item_id AS query_id, {terms_sql('text')} AS terms FROM benchmark",
+)
+shared(
+    "chunk_sets",
+    f"SELECT doc_id AS chunk_id, {terms_sql('text')} AS terms FROM documents",
+)
+shared(
+    "reranked_hits",
+    """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+FROM (SELECT f.query_id, f.chunk_id, f.rrf_score, len(list_intersect(q.terms, c.terms)) / len(q.terms)::DOUBLE AS score
+  FROM fused_hits f JOIN query_sets q USING (query_id) JOIN chunk_sets c USING (chunk_id) WHERE f.rank <= 50)""",
+)
+shared(
+    "chunk_validity",
+    """SELECT d.doc_id AS chunk_id, k.issue_date, r.out_since FROM documents d JOIN circulars k ON k.id = d.doc_id
+LEFT JOIN (SELECT superseded_circular_id AS id, min(effective_date) AS out_since FROM supersessions
+  WHERE resolved AND supersession_type = 'supersedes' GROUP BY 1) r ON r.id = k.id WHERE k.issue_date IS NOT NULL""",
+)
+shared(
+    "query_days",
+    "SELECT item_id AS query_id, CAST(DATE '1998-01-01' + CAST(item_id % 1000 AS INT) AS DATE) AS as_of FROM benchmark",
+)
