@@ -328,11 +328,13 @@ class Corpora:
                 heading,
                 F.lit("\n\nThe desk "),
                 verb,
-                F.lit(" deliver the "),
+                F.lit(" keep "),
                 "p_name",
-                F.lit(" lot within "),
+                F.lit(" stock for "),
                 F.col("p_size").cast("string"),
-                F.lit(" days of each request."),
+                F.lit(" days under "),
+                F.lower("p_type"),
+                F.when(F.col("p_type") == "STANDARD", " rules on request.").otherwise(" rules."),
             ).alias("text"),
         )
         placed = running_totals(

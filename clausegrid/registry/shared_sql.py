@@ -109,7 +109,8 @@ shared(
 FROM (SELECT *, row_number() OVER w AS n, CAST(sum(length(text) + 2) OVER w AS BIGINT) AS through
   FROM (SELECT *, '### ' || clause_number || ' ' || heading || chr(10) || chr(10) || 'The desk '
       || CASE p_type WHEN 'PROMO' THEN 'shall not' WHEN 'ECONOMY' THEN 'may' ELSE 'shall' END
-      || ' deliver the ' || p_name || ' lot within ' || p_size || ' days of each request.' AS text
+      || ' keep ' || p_name || ' stock for ' || p_size || ' days under ' || lower(p_type) || ' rules'
+      || CASE p_type WHEN 'STANDARD' THEN ' on request.' ELSE '.' END AS text
     FROM (SELECT *, p_partkey AS id, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS policy_pack_id,
         CASE p_type WHEN 'ECONOMY' THEN 'A' WHEN 'LARGE' THEN 'B' WHEN 'MEDIUM' THEN 'C'
           WHEN 'PROMO' THEN 'D' WHEN 'SMALL' THEN 'E' ELSE 'F' END || '.' || p_partkey AS clause_number,
@@ -390,3 +391,59 @@ shared(
     "query_days",
     "SELECT item_id AS query_id, CAST(DATE '1998-01-01' + CAST(item_id % 1000 AS INT) AS DATE) AS as_of FROM benchmark",
 )
+shared(
+    "tasks",
+    f"""SELECT a.id AS assessment_id, a.policy_pack_id, o.id AS obligation_id, o.text, o.char_start, o.char_end,
+  {terms_sql("o.text")} AS terms FROM assessments a JOIN obligations o ON o.circular_id = a.circular_id""",
+)
+shared("clause_words", f"SELECT policy_pack_id, id AS clause_id, {terms_sql('text')} AS words FROM clauses")
+shared(
+    "set_scores",
+    """SELECT policy_pack_id, terms, clause_id, len(list_intersect(terms, words)) / len(terms)::DOUBLE AS score,
+  row_number() OVER (PARTITION BY policy_pack_id, terms ORDER BY len(list_intersect(terms, words)) DESC, clause_id) AS rank
+FROM (SELECT DISTINCT policy_pack_id, terms FROM tasks) JOIN clause_words USING (policy_pack_id)""",
+)
+shared(
+    "pair_rows",
+    """SELECT t.assessment_id, t.obligation_id, s.clause_id AS policy_clause_id, c.clause_number, t.text AS obligation_text,
+  t.char_start AS obligation_start, c.text AS clause_text, c.char_start AS clause_start, t.terms, s.score
+FROM tasks t JOIN set_scores s USING (policy_pack_id, terms) JOIN clauses c ON c.id = s.clause_id
+WHERE s.rank <= 3 AND s.score >= 0.35""",
+)
+_BAN = "(?i)\\b(?:shall|must|may)\\s+not\\b|\\bprohibited\\b|\\bno\\s+\\w+(?:\\s+\\w+)?\\s+shall\\b|\\bunder\\s+no\\s+circumstance"
+_MAY = "(?i)\\bmay\\b|\\bpermitted\\b|\\bis\\s+allowed\\b"
+shared(
+    "judged_rows",
+    f"""SELECT *, CASE impact_type
+    WHEN 'NO_MATCH' THEN 'Clause ' || clause_number || ' shares too few terms with the obligation (' || pct || ' of its content words) to address the same requirement.'
+    WHEN 'MODIFIED' THEN 'Both texts set a limit in days, but the obligation states ' || od || ' days while clause ' || clause_number || ' states ' || cd || ' days; the clause needs its figure updated.'
+    WHEN 'CONFLICT' THEN 'One text prohibits what the other permits: the obligation ' || CASE WHEN ob THEN 'forbids' ELSE 'allows' END || ' the conduct that clause ' || clause_number || ' ' || CASE WHEN ob THEN 'allows' ELSE 'forbids' END || '.'
+    WHEN 'ALREADY_COVERED' THEN 'Clause ' || clause_number || ' addresses the same requirement (' || pct || ' of the obligation''s content words recur in it) and states no conflicting figure.'
+    ELSE 'Clause ' || clause_number || ' covers related ground but does not state this requirement; only part of the obligation''s wording recurs in it.' END AS rationale,
+  round_even(score, 2) AS confidence, obligation_text AS circular_quote,
+  CASE WHEN impact_type = 'NO_MATCH' THEN '' ELSE sentence END AS clause_quote
+FROM (SELECT *, CAST(round_even(score * 100, 0) AS INT) || '%' AS pct, CASE WHEN score < 0.25 THEN 'NO_MATCH'
+    WHEN od <> cd THEN 'MODIFIED'
+    WHEN ob <> cb AND score >= 0.4 AND regexp_matches(regexp_replace(CASE WHEN ob THEN sentence ELSE obligation_text END, '(?i)\\bmay\\s+not', '', 'g'), '{_MAY}') THEN 'CONFLICT'
+    WHEN score >= 0.5 THEN 'ALREADY_COVERED' ELSE 'NEW_REQUIREMENT' END AS impact_type
+  FROM (SELECT *, regexp_extract(obligation_text, '(\\d+) days', 1) AS od, regexp_extract(clause_text, '(\\d+) days', 1) AS cd,
+      regexp_extract(clause_text, '(The desk .*)$', 1) AS sentence, regexp_matches(obligation_text, '{_BAN}') AS ob,
+      regexp_matches(regexp_extract(clause_text, '(The desk .*)$', 1), '{_BAN}') AS cb FROM pair_rows))""",
+)
+shared(
+    "unmatched_tasks",
+    """SELECT t.*, s.clause_id AS closest_id, s.score AS closest_score, c.clause_number AS closest_number
+FROM tasks t JOIN set_scores s USING (policy_pack_id, terms) JOIN clauses c ON c.id = s.clause_id WHERE s.rank = 1 AND s.score < 0.35""",
+)
+shared(
+    "real_findings",
+    """SELECT assessment_id, obligation_id, policy_clause_id, clause_number, impact_type, rationale, confidence,
+  obligation_start AS circular_span_start, obligation_start + length(circular_quote) AS circular_span_end,
+  CASE WHEN clause_quote <> '' THEN clause_start + instr(clause_text, clause_quote) - 1 END AS clause_span_start,
+  CASE WHEN clause_quote <> '' THEN clause_start + instr(clause_text, clause_quote) - 1 + length(clause_quote) END AS clause_span_end,
+  'VERIFIED' AS quote_status, NULL AS verification_note, NULL AS unlocated_quote, 1 AS verification_attempts FROM judged_rows
+UNION ALL SELECT assessment_id, obligation_id, NULL, NULL, 'NO_MATCH',
+  'No policy clause scored at or above the relevance threshold (0.35) for this obligation, so no judgement was made. The closest was '
+    || closest_number || ' at ' || printf('%.2f', closest_score) || '.', NULL, NULL, NULL, NULL, NULL, 'NOT_APPLICABLE', NULL, NULL, 0
+FROM unmatched_tasks""",
+)
