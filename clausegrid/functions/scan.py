@@ -70,3 +70,20 @@ def _rejoin(local: DataFrame, carried: DataFrame, cells: list[str]) -> DataFrame
     on = [F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in cells]
     kept = [F.col(f"__l.{c}") for c in local.columns]
     return left.join(right, on).select(*kept, *[F.col(f"__r.{c}") for c in carried.columns if c not in cells])
+
+
+def running_previous(
+    df: DataFrame, keys: list[str], bucket: dict[str, Column], order: list, value: Column, name: str
+) -> DataFrame:
+    """Adds ``value`` of the row before, in order; null for the first row of a key."""
+    ranges = {f"__{n}": expr for n, expr in bucket.items()}
+    cells = keys + list(ranges)
+    inside = W.partitionBy(*cells).orderBy(*order)
+    marked = df.withColumns(ranges).withColumn("__v", F.struct(value.alias("v")))
+    local = marked.withColumn("__in", F.lag("__v").over(inside))
+    place = F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])
+    ends = marked.groupBy(*cells).agg(F.max_by("__v", place).alias("__end"))
+    before = W.partitionBy(*keys).orderBy(*ranges)
+    carried = ends.select(*cells, F.lag("__end").over(before).alias("__pre"))
+    joined = _rejoin(local, carried, cells)
+    return joined.select(*df.columns, F.coalesce("__in", "__pre")["v"].alias(name))

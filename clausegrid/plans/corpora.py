@@ -479,3 +479,55 @@ class Corpora:
             F.when(draw % 29 != 0, (draw % 1000) / 1000.0).alias("top_score"),
             ((draw % 977) / 10.0).alias("latency_ms"),
         )
+
+    @cached_property
+    def annotations(self) -> DataFrame:
+        """Relevance records out of conversation turns, some with defects."""
+        turn = F.col("turn")
+        quote = F.substring("text", turn.cast("int") + 1, F.lit(20))
+        return self.conversations.select(
+            F.concat_ws("-", F.lit("q"), F.expr("conv_id div 2").cast("string"), turn.cast("string")).alias("question_id"),
+            F.when(F.col("role") == "system", "unsure").when(turn % 3 == 0, "not_relevant").otherwise("relevant").alias("relevance"),
+            F.when(turn % 5 == 4, "odd").otherwise("none").alias("ambiguity"),
+            F.when(turn % 3 == 0, "provisional").otherwise("reviewed").alias("review_status"),
+            F.when(turn % 4 == 1, "model").otherwise("human").alias("reviewer_type"),
+            F.lit("model").alias("annotator_type"),
+            F.when(turn % 7 < 6, "2024-01-01").alias("reviewed_at"),
+            F.when(turn % 2 == 0, "dev").otherwise("test").alias("split"),
+            F.col("role").alias("family"),
+            F.col("conv_id").alias("document"),
+            turn.cast("int").alias("char_start"),
+            (turn.cast("int") + 20).alias("char_end"),
+            quote.alias("quote"),
+            F.when(turn % 6 == 5, "x").otherwise(F.sha2(quote, 256)).alias("quote_sha256"),
+        )
+
+    @cached_property
+    def review_candidates(self) -> DataFrame:
+        key = F.col("conv_id")
+        return (
+            self.conversations.where("turn = 0 AND role <> 'system'").select(
+                F.concat(F.lit("r-"), key.cast("string")).alias("record_id"),
+                F.md5((key % 5).cast("string")).alias("snapshot_sha256"),
+                F.when(key % 3 == 0, "rules").otherwise("model").alias("generator"),
+                F.when(key % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
+            )
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """Review rows out of conversation turns: valid, stale and unusable ones."""
+        key, turn = F.col("conv_id"), F.col("turn")
+        return self.conversations.select(
+            (key * 1000 + turn).alias("line"),
+            F.when(turn % 13 != 12, F.concat(F.lit("r-"), key.cast("string"))).alias("record_id"),
+            F.when(turn % 7 == 6, "maybe")
+            .when(F.col("role") == "user", "supported")
+            .when(F.col("role") == "assistant", "unsupported")
+            .otherwise("insufficient")
+            .alias("label"),
+            F.concat(F.lit("p"), turn.cast("string")).alias("reviewer_id"),
+            F.when(turn % 5 == 4, "model").otherwise("human").alias("reviewer_type"),
+            F.when(turn % 11 == 5, "2024-01-01").otherwise("2024-01-01T10:00:00+00:00").alias("reviewed_at"),
+            F.when(turn % 3 == 2, "old").otherwise(F.md5((key % 5).cast("string"))).alias("snapshot_sha256"),
+        )

@@ -447,3 +447,43 @@ UNION ALL SELECT assessment_id, obligation_id, NULL, NULL, 'NO_MATCH',
     || closest_number || ' at ' || printf('%.2f', closest_score) || '.', NULL, NULL, NULL, NULL, NULL, 'NOT_APPLICABLE', NULL, NULL, 0
 FROM unmatched_tasks""",
 )
+shared(
+    "scored_outcomes",
+    """SELECT *, CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END AS hit_1, CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END AS hit_5,
+  CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END AS hit_10, coalesce(1.0::DOUBLE / rank, 0) AS reciprocal_rank,
+  CASE WHEN mode = 'hybrid_rerank' THEN top_score IS NULL OR top_score < 0.35::DOUBLE END AS refused
+FROM (SELECT *, nullif(list_position(retrieved, relevant[1]), 0) AS rank FROM outcomes)""",
+)
+shared(
+    "annotations",
+    """SELECT 'q-' || (conv_id // 2) || '-' || turn AS question_id, CASE WHEN role = 'system' THEN 'unsure' WHEN turn % 3 = 0 THEN 'not_relevant' ELSE 'relevant' END AS relevance,
+  CASE WHEN turn % 5 = 4 THEN 'odd' ELSE 'none' END AS ambiguity,
+  CASE turn % 3 WHEN 0 THEN 'provisional' ELSE 'reviewed' END AS review_status, CASE WHEN turn % 4 = 1 THEN 'model' ELSE 'human' END AS reviewer_type,
+  'model' AS annotator_type, CASE WHEN turn % 7 < 6 THEN '2024-01-01' END AS reviewed_at, CASE WHEN turn % 2 = 0 THEN 'dev' ELSE 'test' END AS split,
+  role AS family, conv_id AS document, CAST(turn AS INT) AS char_start, CAST(turn AS INT) + 20 AS char_end,
+  substr(text, CAST(turn AS INT) + 1, 20) AS quote,
+  CASE WHEN turn % 6 = 5 THEN 'x' ELSE sha256(substr(text, CAST(turn AS INT) + 1, 20)) END AS quote_sha256 FROM conversations""",
+)
+shared(
+    "review_candidates",
+    """SELECT 'r-' || conv_id AS record_id, md5(CAST(conv_id % 5 AS VARCHAR)) AS snapshot_sha256,
+  CASE conv_id % 3 WHEN 0 THEN 'rules' ELSE 'model' END AS generator, CASE conv_id % 2 WHEN 0 THEN 'real' ELSE 'synthetic' END AS corpus
+FROM conversations WHERE turn = 0 AND role <> 'system'""",
+)
+shared(
+    "reviews",
+    """SELECT conv_id * 1000 + turn AS line, CASE WHEN turn % 13 <> 12 THEN 'r-' || conv_id END AS record_id,
+  CASE WHEN turn % 7 = 6 THEN 'maybe' WHEN role = 'user' THEN 'supported' WHEN role = 'assistant' THEN 'unsupported' ELSE 'insufficient' END AS label,
+  'p' || turn AS reviewer_id, CASE WHEN turn % 5 = 4 THEN 'model' ELSE 'human' END AS reviewer_type,
+  CASE WHEN turn % 11 = 5 THEN '2024-01-01' ELSE '2024-01-01T10:00:00+00:00' END AS reviewed_at,
+  CASE WHEN turn % 3 = 2 THEN 'old' ELSE md5(CAST(conv_id % 5 AS VARCHAR)) END AS snapshot_sha256 FROM conversations""",
+)
+shared(
+    "review_states",
+    """SELECT *, CASE WHEN problem IS NOT NULL THEN 'invalid' WHEN snapshot_sha256 <> now THEN 'stale'
+  WHEN line = max(line) FILTER (problem IS NULL AND snapshot_sha256 = now) OVER (PARTITION BY record_id) THEN 'current' ELSE 'replaced' END AS state
+FROM (SELECT r.*, c.snapshot_sha256 AS now, CASE WHEN r.record_id IS NULL THEN 'no record_id' WHEN label = 'maybe' THEN 'label is not a known label'
+    WHEN reviewer_type <> 'human' THEN 'the reviewer is not recorded as a human' WHEN reviewed_at = '2024-01-01' THEN 'reviewed_at is not an ISO time with a timezone'
+    WHEN c.record_id IS NULL THEN 'no candidate ' || r.record_id END AS problem
+  FROM reviews r LEFT JOIN review_candidates c USING (record_id))""",
+)
