@@ -139,43 +139,97 @@ def _closest(lonely: DataFrame, sets: DataFrame) -> DataFrame:
 # --- verdicts -----------------------------------------------------------------------------
 
 
-def judge_pairs(pairs: DataFrame) -> DataFrame:
-    """(…, obligation_text, clause_text, clause_number) → impact, rationale, confidence and quotes."""
-    staged = pairs.withColumns(
+def obligation_features(rows: DataFrame, text: str = "obligation_text") -> DataFrame:
+    """What a verdict needs to know of an obligation; worked out once per obligation, not per pair."""
+    body = F.col(text)
+    staged = rows.withColumns({"o_terms": T.content_terms(body), "o_limit": T.stated_quantity(body)})
+    limit = F.col("o_limit.matched")
+    return staged.withColumns(
+        {
+            "o_bans": T.prohibits(body),
+            "o_permits": T.permits(body),
+            "o_quote": T.trim_quote(body),
+            "o_limit_quote": F.when(limit.isNotNull(), T.sentence_around(T.clause_sentences(body), limit)),
+        }
+    )
+
+
+def clause_features(rows: DataFrame, text: str = "clause_text") -> DataFrame:
+    """What a verdict needs to know of a clause: its words, limit and sentences with theirs."""
+    body = F.col(text)
+    staged = rows.withColumns(
         {
-            "__ot": T.content_terms(F.col("obligation_text")),
-            "__ct": T.content_terms(F.col("clause_text")),
-            "__os": T.clause_sentences(F.col("obligation_text")),
-            "__cs": T.clause_sentences(F.col("clause_text")),
-            "__oq": T.stated_quantity(F.col("obligation_text")),
-            "__cq": T.stated_quantity(F.col("clause_text")),
+            "c_terms": T.content_terms(body),
+            "c_limit": T.stated_quantity(body),
+            "__sentences": T.clause_sentences(body),
+        }
+    )
+    limit = F.col("c_limit.matched")
+    known = F.transform(
+        "__sentences",
+        lambda s: F.struct(
+            (-s["start"]).alias("back"),
+            T.trim_quote(s["piece"]).alias("piece"),
+            T.content_terms(s["piece"]).alias("terms"),
+        ),
+    )
+    return staged.withColumns(
+        {
+            "c_sentences": F.transform(
+                known,
+                lambda s: F.struct(
+                    s["back"].alias("back"),
+                    s["piece"].alias("piece"),
+                    s["terms"].alias("terms"),
+                    T.prohibits(s["piece"]).alias("bans"),
+                    T.permits(s["piece"]).alias("permits"),
+                ),
+            ),
+            "c_limit_quote": F.when(limit.isNotNull(), T.sentence_around(F.col("__sentences"), limit)),
         }
+    ).drop("__sentences")
+
+
+def judge_pairs(pairs: DataFrame) -> DataFrame:
+    """(…, obligation_text, clause_text, clause_number) → impact, rationale, confidence and quotes.
+
+    Rows that carry the features of both sides are judged by comparing word sets and flags only;
+    otherwise the features are worked out here.
+    """
+    kept = [c for c in pairs.columns if not c.startswith(("o_", "c_"))]
+    staged = pairs if "o_terms" in pairs.columns else obligation_features(pairs)
+    staged = staged if "c_terms" in staged.columns else clause_features(staged)
+    shared = F.size(F.array_intersect("o_terms", "c_terms"))
+    scored = F.transform(
+        "c_sentences",
+        lambda s: F.struct(
+            F.size(F.array_intersect(s["terms"], F.col("o_terms"))).alias("score"),
+            s["back"].alias("back"),
+            s["piece"].alias("piece"),
+            s["bans"].alias("bans"),
+            s["permits"].alias("permits"),
+        ),
     )
-    shared = F.size(F.array_intersect("__ot", "__ct"))
     staged = staged.withColumns(
         {
-            "__overlap": F.when(F.size("__ot") > 0, shared / F.size("__ot")).otherwise(0.0),
-            "__best": T.best_sentence(F.col("__cs"), F.col("__ot")),
-            "__bans": T.prohibits(F.col("obligation_text")),
+            "__overlap": F.when(F.size("o_terms") > 0, shared / F.size("o_terms")).otherwise(0.0),
+            "__best": F.array_max(F.filter(scored, lambda s: s["score"] > 0)),
         }
     )
     overlap, best = F.col("__overlap"), F.col("__best.piece")
-    clause_bans = T.prohibits(F.coalesce(best, F.lit("")))
-    open_side = F.when(F.col("__bans"), best).otherwise(F.col("obligation_text"))
-    other_limit = (F.col("__oq.unit") == F.col("__cq.unit")) & (F.col("__oq.value") != F.col("__cq.value"))
+    open_side = F.when(F.col("o_bans"), F.col("__best.permits")).otherwise(F.col("o_permits"))
+    other_limit = (F.col("o_limit.unit") == F.col("c_limit.unit")) & (F.col("o_limit.value") != F.col("c_limit.value"))
     impact = (
         F.when((overlap < K.NO_MATCH_BELOW) | best.isNull(), "NO_MATCH")
         .when(F.coalesce(other_limit, F.lit(False)), "MODIFIED")
-        .when(
-            (F.col("__bans") != clause_bans) & (overlap >= K.CONFLICT_FROM) & T.permits(open_side), "CONFLICT"
-        )
+        .when((F.col("o_bans") != F.col("__best.bans")) & (overlap >= K.CONFLICT_FROM) & open_side, "CONFLICT")
         .when(overlap >= K.COVERED_FROM, "ALREADY_COVERED")
         .otherwise("NEW_REQUIREMENT")
     )
     judged = staged.withColumn("impact_type", impact)
     share = F.concat(F.bround(overlap * 100).cast("int").cast("string"), F.lit("%"))
-    forbids = F.when(F.col("__bans"), "forbids").otherwise("allows")
-    allows = F.when(F.col("__bans"), "allows").otherwise("forbids")
+    forbids = F.when(F.col("o_bans"), "forbids").otherwise("allows")
+    allows = F.when(F.col("o_bans"), "allows").otherwise("forbids")
     number = F.col("clause_number")
 
     # Fixed message texts, one per verdict.
@@ -194,10 +248,10 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
             F.format_string(
                 "Both texts set a limit in %s, but the obligation states %s while clause %s states "
                 "%s; the clause needs its figure updated.",
-                F.col("__oq.unit"),
-                T.strip(F.col("__oq.matched")),
+                F.col("o_limit.unit"),
+                T.strip(F.col("o_limit.matched")),
                 number,
-                T.strip(F.col("__cq.matched")),
+                T.strip(F.col("c_limit.matched")),
             ),
         )
         .when(
@@ -229,15 +283,13 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
     )
     modified = F.col("impact_type") == "MODIFIED"
     return judged.select(
-        *pairs.columns,
+        *kept,
         "impact_type",
         rationale.alias("rationale"),
         F.bround(overlap, 2).alias("confidence"),
-        F.when(modified, T.sentence_around(F.col("__os"), F.col("__oq.matched")))
-        .otherwise(T.trim_quote(F.col("obligation_text")))
-        .alias("circular_quote"),
+        F.when(modified, F.col("o_limit_quote")).otherwise(F.col("o_quote")).alias("circular_quote"),
         F.when(F.col("impact_type") == "NO_MATCH", "")
-        .when(modified, T.sentence_around(F.col("__cs"), F.col("__cq.matched")))
+        .when(modified, F.col("c_limit_quote"))
         .otherwise(best)
         .alias("clause_quote"),
     )
@@ -368,26 +420,30 @@ def assess(
 ) -> DataFrame:
     """Findings of every assessment: candidates, rule verdicts, verified quotes, no-match rows.
 
-    Texts join the candidate pairs only after the cut to ``n`` clauses.
+    Texts and what is read from them join the candidate pairs only after the cut to ``n`` clauses.
     """
     tasks = plan_assessments(assessments, obligations)
     candidates, unmatched = rank_clauses(tasks, clauses, threshold, n)
-    bodies = clauses.select(
-        F.col("id").alias("clause_id"),
-        "clause_number",
-        F.col("text").alias("clause_text"),
-        F.col("char_start").alias("clause_start"),
-    )
-    pairs = candidates.join(bodies, "clause_id").select(
-        "assessment_id",
-        "obligation_id",
-        F.col("clause_id").alias("policy_clause_id"),
-        "clause_number",
-        F.col("text").alias("obligation_text"),
-        F.col("char_start").alias("obligation_start"),
-        "clause_text",
-        "clause_start",
-        F.lit(1).alias("attempt"),
+    asked = obligation_features(
+        obligations.select(
+            F.col("id").alias("obligation_id"),
+            F.col("text").alias("obligation_text"),
+            F.col("char_start").alias("obligation_start"),
+        )
+    )
+    offered = clause_features(
+        clauses.select(
+            F.col("id").alias("policy_clause_id"),
+            "clause_number",
+            F.col("text").alias("clause_text"),
+            F.col("char_start").alias("clause_start"),
+        )
+    )
+    pairs = (
+        candidates.select("assessment_id", "obligation_id", F.col("clause_id").alias("policy_clause_id"))
+        .join(asked, "obligation_id")
+        .join(offered, "policy_clause_id")
+        .withColumn("attempt", F.lit(1))
     )
     found = build_findings(verify_grounding(judge_pairs(pairs)))
     return found.unionByName(no_candidate_findings(unmatched, clauses, threshold))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
-from clausegrid.functions.ranking import hash_draw, top_n
+from clausegrid.functions.ranking import top_n
 from clausegrid.functions.scan import running_totals
 from clausegrid.session import cut_lineage
 
@@ -139,6 +139,25 @@ def latency_metrics(outcomes: DataFrame) -> DataFrame:
     return points.join(means, "mode")
 
 
+DRAW_PRIME = 2**31 - 1
+SMALL_ROWS = 500_000  # rows of a few numbers each: some ten megabytes
+
+
+def resample_draw(resample: Column, draw: Column, k: Column, seed: int) -> Column:
+    """A number in 0..k-1 for each draw of each resample.
+
+    Two rounds of the fifth power modulo a prime, which permutes the residues, mix the pair's
+    number; plain integer arithmetic keeps billions of draws cheap and every engine agrees.
+    """
+
+    def fifth(x: Column) -> Column:
+        square = x * x % DRAW_PRIME
+        return square * square % DRAW_PRIME * x % DRAW_PRIME
+
+    start = (resample.cast("long") * k + draw.cast("long") + seed) % DRAW_PRIME
+    return fifth((fifth(start) + seed) % DRAW_PRIME) % k
+
+
 def cluster_bootstrap(
     rows: DataFrame,
     keys: list[str],
@@ -149,10 +168,10 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Percentile intervals of means under resampling of whole clusters, per key.
 
-    Rows shrink to sums per cluster. Every cluster then stands for one draw of each resample:
-    its hash with the resample's number picks the cluster drawn. The draws join the sums, and
-    means per resample are combined before they are exchanged. Fewer than five clusters give
-    no interval. The bounds are order statistics.
+    Rows shrink to sums per cluster. Every cluster then stands for one draw of each resample,
+    which picks the cluster drawn. The draws join the sums, which are sent to every task when
+    they are counted and few and exchanged otherwise; means per resample are combined before
+    they travel. Fewer than five clusters give no interval. The bounds are order statistics.
     """
     sums = rows.groupBy(*keys, "cluster").agg(
         F.count("*").alias("__n"), *[F.sum(m).alias(f"__s_{m}") for m in metrics]
@@ -164,16 +183,20 @@ def cluster_bootstrap(
         ["__h", "cluster"],
         {"__i": F.lit(1).cast("long")},
     ).withColumn("__i", F.col("__i") - 1)
+    placed = cut_lineage(placed.drop("__h", "cluster"))
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("__k")).where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
     draws = (
         placed.select(*keys, F.col("__i").alias("__j"))
         .join(sizes, keys)
+        .repartition(*keys, "__j")
         .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__j").cast("string"))
-    drawn = draws.select(*keys, "__b", hash_draw(text, F.col("__k")).alias("__i"))
+    drawn = draws.select(
+        *keys, "__b", resample_draw(F.col("__b"), F.col("__j"), F.col("__k"), seed).alias("__i")
+    )
+    few = placed.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     means = (
-        drawn.join(placed, [*keys, "__i"])
+        drawn.join(F.broadcast(placed) if few else placed, [*keys, "__i"])
         .groupBy(*keys, "__b")
         .agg(*[(F.sum(f"__s_{m}") / F.sum("__n")).alias(m) for m in metrics])
     )

@@ -36,6 +36,29 @@ def pick(key: Column, cases: list[tuple[object, object]], otherwise) -> Column:
     return out
 
 
+# Columns that together tell rows apart, so that no single key decides where rows go.
+SPREAD_BY = {
+    "documents": ["doc_id"],
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    "pages": ["page_id"],
+    "events": ["event_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
+def spread(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """Use every core when a table comes in fewer pieces than there are cores.
+
+    A file with one row group is one task, whatever the work on its rows. Tables of a cluster's
+    size have more pieces than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if columns is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *columns)
+
+
 class Corpora:
     """The given tables, and the corpus tables derived from them."""
 
@@ -44,7 +67,7 @@ class Corpora:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), SPREAD_BY.get(name))
 
     documents = cached_property(lambda self: self.table("documents"))
     labels = cached_property(lambda self: self.table("labels"))

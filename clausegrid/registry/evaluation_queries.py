@@ -154,8 +154,10 @@ def _bootstrap_sql(rows: str, keys: str, metrics: list[str]) -> str:
   SELECT {keys}, resample, {means} FROM (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY md5(cluster), cluster) - 1 AS i,
       count(*) OVER (PARTITION BY {keys}) AS k, n, {", ".join("s_" + m for m in metrics)}
     FROM (SELECT {keys}, cluster, count(*) AS n, {sums} FROM ({rows}) GROUP BY ALL)) s
-  JOIN (SELECT k, resample, ('0x' || substr(md5('20261015|' || resample || '|' || j), 1, 8))::BIGINT % k AS i
-    FROM (SELECT DISTINCT count(*) AS k FROM (SELECT DISTINCT {keys}, cluster FROM ({rows})) GROUP BY {keys}), unnest(range(k)) AS t(j), range(2000) AS r(resample)) d
+  JOIN (SELECT k, resample, (y * y % p) * (y * y % p) % p * y % p % k AS i
+    FROM (SELECT k, resample, p, ((x * x % p) * (x * x % p) % p * x % p + 20261015) % p AS y
+    FROM (SELECT k, resample, CAST(2147483647 AS BIGINT) AS p, (resample * k + j + 20261015) % 2147483647 AS x
+    FROM (SELECT DISTINCT count(*) AS k FROM (SELECT DISTINCT {keys}, cluster FROM ({rows})) GROUP BY {keys}), unnest(range(k)) AS t(j), range(2000) AS r(resample)))) d
   USING (k, i) GROUP BY {keys}, resample) GROUP BY {keys}"""
 
 

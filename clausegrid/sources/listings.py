@@ -8,17 +8,18 @@ from urllib.parse import parse_qs, urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def unescaped(titles: pd.Series) -> pd.Series:
     return titles.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def resolved_link(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute address of a link, or the ``file`` it wraps."""
 
