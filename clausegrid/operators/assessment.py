@@ -10,6 +10,7 @@ from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
 from clausegrid.functions.ranking import first_per_key, top_n
 from clausegrid.functions.scan import running_totals
+from clausegrid.session import cut_lineage
 
 
 def plan_assessments(assessments: DataFrame, obligations: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def rank_clauses(
     candidate name their closest clause, found by the same reasoning with two shared words, then
     one, then none.
     """
-    wanted = tasks.withColumn("terms", T.content_terms(F.col("text")))
+    # The tasks feed several branches; they are written once instead of derived for each.
+    wanted = cut_lineage(tasks.withColumn("terms", T.content_terms(F.col("text"))))
     asked = wanted.select("policy_pack_id", "terms").distinct()
     offered = clauses.select(
         "policy_pack_id", F.col("id").alias("clause_id"), T.content_terms(F.col("text")).alias("clause_terms")
@@ -49,7 +51,7 @@ def rank_clauses(
         .groupBy("policy_pack_id", "clause_terms")
         .agg(F.array_sort(F.collect_list("clause_id")).alias("clause_ids"))
     )
-    ordered = _rarest_first(asked, sets)
+    ordered = cut_lineage(_rarest_first(asked, sets))
     needed = F.greatest(F.ceil(F.round(F.lit(threshold) * F.size("terms"), 9)), F.lit(1)).cast("int")
     close = _sharing(ordered, sets, needed).where(F.col("score") >= threshold)
     best = top_n(
@@ -58,6 +60,7 @@ def rank_clauses(
         [F.col("score").desc(), F.col("clause_id").asc()],
         n,
     ).select("policy_pack_id", "terms", "clause_id", "score", "rank")
+    best = cut_lineage(best)
     candidates = wanted.join(best, ["policy_pack_id", "terms"]).drop("terms")
 
     lonely = ordered.join(best.select("policy_pack_id", "terms"), ["policy_pack_id", "terms"], "left_anti")

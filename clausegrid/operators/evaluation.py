@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed as K
@@ -184,22 +185,31 @@ def cluster_bootstrap(
         {"__i": F.lit(1).cast("long")},
     ).withColumn("__i", F.col("__i") - 1)
     placed = cut_lineage(placed.drop("__h", "cluster"))
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("__k")).where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
-    draws = (
-        placed.select(*keys, F.col("__i").alias("__j"))
-        .join(sizes, keys)
-        .repartition(*keys, "__j")
+    groups = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)  # one row per key
+    sizes = (
+        placed.groupBy(*keys)
+        .agg(F.count("*").alias("__k"))
+        .where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
+        .withColumn("__base", F.coalesce(F.sum("__k").over(groups), F.lit(0)))
+    )
+    numbered = placed.join(F.broadcast(sizes), keys).withColumn("__row", F.col("__base") + F.col("__i"))
+    drawn = (
+        numbered.select(*keys, "__i", "__k", "__base")
+        .repartition(*keys, "__i")
         .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    )
-    drawn = draws.select(
-        *keys, "__b", resample_draw(F.col("__b"), F.col("__j"), F.col("__k"), seed).alias("__i")
+        .select(
+            "__b",
+            (F.col("__base") + resample_draw(F.col("__b"), F.col("__i"), F.col("__k"), seed)).alias("__row"),
+        )
     )
     few = placed.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    means = (
-        drawn.join(F.broadcast(placed) if few else placed, [*keys, "__i"])
-        .groupBy(*keys, "__b")
+    looked_up = numbered.select("__row", "__base", "__n", *[f"__s_{m}" for m in metrics])
+    per_base = (
+        drawn.join(F.broadcast(looked_up) if few else looked_up, "__row")
+        .groupBy("__base", "__b")
         .agg(*[(F.sum(f"__s_{m}") / F.sum("__n")).alias(m) for m in metrics])
     )
+    means = per_base.join(F.broadcast(sizes.select(*keys, "__base")), "__base")
     tail = (1 - level) / 2
     low, high = math.floor(tail * (resamples - 1)), math.ceil((1 - tail) * (resamples - 1))
     ordered = lambda m: F.array_sort(F.collect_list(m))  # noqa: E731  one value per resample

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions.scan import running_count, running_totals
+from clausegrid.session import shared_folder
 
 LINE_ORDER = [
     "l_linenumber",
@@ -59,6 +60,28 @@ def spread(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.repartition(cores, *columns)
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build):
+    """A derived table that is written once per application, as a corpus keeps its tables.
+
+    Paragraphs, obligations and indexes are inputs of many jobs; they live in the shared folder
+    the cluster names, so lost executors read them again instead of deriving them again.
+    """
+    name = build.__name__
+
+    def get(self: "Corpora") -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = f"{shared_folder(self.spark, 'corpus')}/{name}"
+            build(self).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    return property(get, doc=build.__doc__)
+
+
 class Corpora:
     """The given tables, and the corpus tables derived from them."""
 
@@ -80,7 +103,7 @@ class Corpora:
     lineitem = cached_property(lambda self: self.table("lineitem"))
     part = cached_property(lambda self: self.table("part"))
 
-    @cached_property
+    @stored
     def circulars(self) -> DataFrame:
         department = pick(
             F.substring("o_orderpriority", 1, 1),
@@ -122,7 +145,7 @@ class Corpora:
             F.col("o_custkey").alias("cluster"),
         )
 
-    @cached_property
+    @stored
     def circular_pages(self) -> DataFrame:
         """Two raw pages per circular, with the untidiness of extracted page text."""
         key = F.col("id")
@@ -153,7 +176,7 @@ class Corpora:
             key.alias("doc_id"), F.posexplode(F.array(first, second)).alias("page_number", "text")
         ).withColumn("page_number", F.col("page_number") + 1)
 
-    @cached_property
+    @stored
     def document_paragraphs(self) -> DataFrame:
         """Documents line by line, as a table of paragraphs with offsets."""
         from clausegrid.operators.segmentation import place_lines
@@ -213,7 +236,7 @@ class Corpora:
             .alias("text"),
         )
 
-    @cached_property
+    @stored
     def items(self) -> DataFrame:
         """Line items with their part, numbered inside the circular."""
         parts = self.part.select("p_partkey", "p_name", "p_brand")
@@ -241,7 +264,7 @@ class Corpora:
             F.lit(" days of each request."),
         )
 
-    @cached_property
+    @stored
     def paragraphs(self) -> DataFrame:
         header = self.circulars.select(
             F.col("id").alias("circular_id"),
@@ -302,7 +325,7 @@ class Corpora:
             "extraction_method",
         )
 
-    @cached_property
+    @stored
     def obligations(self) -> DataFrame:
         """One obligation per numbered paragraph: the paragraph without its marker."""
         marker = F.length("para_number") + 2
@@ -329,7 +352,7 @@ class Corpora:
             )
         )
 
-    @cached_property
+    @stored
     def clauses(self) -> DataFrame:
         letter = pick(
             F.col("p_type"),
@@ -410,7 +433,7 @@ class Corpora:
             F.to_date("o_orderdate").alias("created_on"),
         )
 
-    @cached_property
+    @stored
     def findings(self) -> DataFrame:
         """One stored finding per line item, on the part's clause unless it has no discount."""
         rows = self.items.select(
@@ -472,7 +495,7 @@ class Corpora:
             F.col("ts").cast("timestamp").alias("started_at"),
         )
 
-    @cached_property
+    @stored
     def outcomes(self) -> DataFrame:
         """One outcome per order and retrieval mode; the hit position comes from a hash."""
         modes = self.orders.select(
@@ -503,6 +526,42 @@ class Corpora:
             ((draw % 977) / 10.0).alias("latency_ms"),
         )
 
+    @property
+    def chunks(self) -> DataFrame:
+        """Every document is one chunk of the circular of the same number."""
+        return self.documents.select(
+            F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("circular_id"), "text"
+        )
+
+    @stored
+    def postings(self) -> DataFrame:
+        from clausegrid.operators.indexing import index_text
+
+        return index_text(self.chunks)
+
+    @stored
+    def vectors(self) -> DataFrame:
+        from clausegrid.operators.indexing import embed_texts
+
+        return embed_texts(self.chunks, "chunk_id")
+
+    @stored
+    def citations(self) -> DataFrame:
+        """References come from the whole paragraph table through the extraction operators."""
+        from clausegrid.operators.graph import resolve_citations
+        from clausegrid.operators.references import dated_phrases, find_references
+
+        p = self.paragraphs.select(F.col("id").alias("paragraph_id"), "circular_id", "text", "char_start")
+        refs = find_references(p, ["circular_id", "paragraph_id"])
+        return resolve_citations(refs, dated_phrases(p, ["paragraph_id"]), self.circulars)
+
+    @stored
+    def supersessions(self) -> DataFrame:
+        from clausegrid.operators.graph import supersession_edges
+
+        edges = supersession_edges(self.citations, self.paragraphs, self.circulars)
+        return edges.withColumn("edge_id", F.col("superseding_circular_id"))
+
     @cached_property
     def annotations(self) -> DataFrame:
         """Relevance records out of conversation turns, some with defects."""

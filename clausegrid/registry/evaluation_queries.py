@@ -10,7 +10,6 @@ from clausegrid.operators import ledger as L
 from clausegrid.operators import views as V
 from clausegrid.plans.corpora import Corpora
 from clausegrid.registry.core import query
-from clausegrid.registry.graph_queries import citations_of
 
 
 def rounded(df, *names: str, digits: int = 6):
@@ -27,7 +26,7 @@ _GOLD = """SELECT x.tag || k AS query_id, x.subset, x.query, relevant, citing_ci
 
 
 def _gold(c: Corpora):
-    return G.mine_gold_queries(citations_of(c), c.paragraphs, c.circulars)
+    return G.mine_gold_queries(c.citations, c.paragraphs, c.circulars)
 
 
 @query("mine_gold_queries", _GOLD)

@@ -17,7 +17,7 @@ AS_OF_SQL = "(SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in AS_OF) + "]) A
 
 
 def citations_of(c: Corpora):
-    """References come from the whole paragraph table through the extraction operators."""
+    """The whole job from paragraph texts to citations."""
     p = c.paragraphs.select(F.col("id").alias("paragraph_id"), "circular_id", "text", "char_start")
     refs = R.find_references(p, ["circular_id", "paragraph_id"])
     return G.resolve_citations(refs, R.dated_phrases(p, ["paragraph_id"]), c.circulars)
@@ -48,7 +48,7 @@ FROM (SELECT count(*) AS citations_found, count(*) FILTER (resolved) AS citation
    ORDER BY issue_date DESC NULLS LAST, k.id DESC, citing_paragraph_id, char_start LIMIT 20)) e""",
 )
 def _(c: Corpora):
-    cited = citations_of(c)
+    cited = c.citations
     edges = G.supersession_edges(cited, c.paragraphs, c.circulars)
     return G.graph_report(cited, edges, c.circulars).withColumn(
         "resolution_rate", F.round("resolution_rate", 6)
@@ -57,7 +57,7 @@ def _(c: Corpora):
 
 @query("resolution_stats", "SELECT count(*) FILTER (resolved) AS resolved, count(*) AS total FROM citations")
 def _(c: Corpora):
-    return G.resolution_stats(citations_of(c))
+    return G.resolution_stats(c.citations)
 
 
 @query(
@@ -66,7 +66,7 @@ def _(c: Corpora):
 FROM citations x LEFT JOIN circulars k ON k.id = x.cited_circular_id""",
 )
 def _(c: Corpora):
-    return G.outbound_edges(citations_of(c), c.circulars)
+    return G.outbound_edges(c.citations, c.circulars)
 
 
 @query(
@@ -75,7 +75,7 @@ def _(c: Corpora):
 FROM citations x LEFT JOIN circulars k ON k.id = x.citing_circular_id WHERE cited_circular_id IS NOT NULL""",
 )
 def _(c: Corpora):
-    return G.inbound_edges(citations_of(c), c.circulars)
+    return G.inbound_edges(c.citations, c.circulars)
 
 
 _CHAIN = """SELECT superseding_circular_id AS circular_id, 'outgoing' AS direction, edge_id, superseding_circular_id,
@@ -88,7 +88,7 @@ FROM supersessions WHERE superseded_circular_id IS NOT NULL"""
 
 @query("amendment_chain", _CHAIN)
 def _(c: Corpora):
-    return G.amendment_chain(supersessions_of(c))
+    return G.amendment_chain(c.supersessions)
 
 
 _GONE = """(SELECT DISTINCT as_of, superseded_circular_id AS id FROM supersessions, {dates}
@@ -99,7 +99,7 @@ _GONE = """(SELECT DISTINCT as_of, superseded_circular_id AS id FROM supersessio
 
 @query("out_of_force_ids", f"SELECT * FROM {_GONE}")
 def _(c: Corpora):
-    return P.out_of_force_ids(supersessions_of(c), AS_OF)
+    return P.out_of_force_ids(c.supersessions, AS_OF)
 
 
 @query(
@@ -108,7 +108,7 @@ def _(c: Corpora):
   AND NOT EXISTS (SELECT 1 FROM {_GONE} g WHERE g.id = k.id AND g.as_of = d.as_of)""",
 )
 def _(c: Corpora):
-    return P.in_force_as_of(c.circulars, supersessions_of(c), AS_OF)
+    return P.in_force_as_of(c.circulars, c.supersessions, AS_OF)
 
 
 @query(
@@ -127,7 +127,7 @@ FROM (SELECT *, CASE WHEN issue_date IS NULL THEN 'unknown-date' WHEN issue_date
     GROUP BY ALL))""",
 )
 def _(c: Corpora):
-    return P.force_state(c.circulars, supersessions_of(c), AS_OF)
+    return P.force_state(c.circulars, c.supersessions, AS_OF)
 
 
 @query(
@@ -136,7 +136,7 @@ def _(c: Corpora):
 WHERE resolved AND supersession_type = 'partial' AND (effective_date IS NULL OR effective_date <= as_of)""",
 )
 def _(c: Corpora):
-    return P.amending_edges(supersessions_of(c), AS_OF)
+    return P.amending_edges(c.supersessions, AS_OF)
 
 
 _SPINE = f"""SELECT id AS selected_id, id AS neighbour_id, issue_date, NULL AS relation,
@@ -152,7 +152,7 @@ JOIN circulars k ON k.id = other WHERE other <> circular_id"""
 
 @query("timeline", _SPINE)
 def _(c: Corpora):
-    return P.timeline(c.circulars, G.amendment_chain(supersessions_of(c)), date(1998, 1, 1))
+    return P.timeline(c.circulars, G.amendment_chain(c.supersessions), date(1998, 1, 1))
 
 
 @query(
@@ -160,5 +160,5 @@ def _(c: Corpora):
     f"SELECT selected_id, count(*) FILTER (NOT after_marker) AS marker_at FROM ({_SPINE}) GROUP BY 1",
 )
 def _(c: Corpora):
-    spine = P.timeline(c.circulars, G.amendment_chain(supersessions_of(c)), date(1998, 1, 1))
+    spine = P.timeline(c.circulars, G.amendment_chain(c.supersessions), date(1998, 1, 1))
     return P.marker_position(spine)

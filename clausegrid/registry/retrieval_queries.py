@@ -12,13 +12,10 @@ from clausegrid.operators import indexing as I
 from clausegrid.operators import retrieval as R
 from clausegrid.plans.corpora import Corpora
 from clausegrid.registry.core import query
-from clausegrid.registry.graph_queries import supersessions_of
 
 
 def chunks_of(c: Corpora):
-    return c.documents.select(
-        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("circular_id"), "text"
-    )
+    return c.chunks
 
 
 def queries_of(c: Corpora):
@@ -103,7 +100,7 @@ def _(c: Corpora):
 
 @query("lexical_topk", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM lexical_hits")
 def _(c: Corpora):
-    return R.lexical_topk(queries_of(c), I.index_text(chunks_of(c))).withColumn(
+    return R.lexical_topk(queries_of(c), c.postings).withColumn(
         "score", F.round("score", 9)
     )
 
@@ -137,7 +134,7 @@ def _(c: Corpora):
 def _mode(name: str, sql: str) -> None:
     @query(f"retrieve_{name}", sql)
     def _(c: Corpora):
-        hits = R.retrieve(queries_of(c), chunks_of(c), name)
+        hits = R.retrieve(queries_of(c), chunks_of(c), name, c.postings, c.vectors)
         return hits.withColumns({"score": F.round("score", 9), "rrf_score": F.round("rrf_score", 9)})
 
 
@@ -148,7 +145,7 @@ _mode("hybrid_rerank", "SELECT query_id, chunk_id, rank, round(score, 9) AS scor
 
 
 def _dense_candidates(c: Corpora):
-    return R.retrieve(queries_of(c), chunks_of(c), "dense", top_k=50).select("query_id", "chunk_id")
+    return R.retrieve(queries_of(c), chunks_of(c), "dense", vectors=c.vectors, top_k=50).select("query_id", "chunk_id")
 
 
 _PAIRS = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
@@ -177,7 +174,7 @@ def _(c: Corpora):
 FROM lexical_hits l JOIN documents d ON d.doc_id = l.chunk_id LEFT JOIN circulars k ON k.id = d.doc_id""",
 )
 def _(c: Corpora):
-    hits = R.lexical_topk(queries_of(c), I.index_text(chunks_of(c))).select("query_id", "chunk_id", "rank")
+    hits = R.lexical_topk(queries_of(c), c.postings).select("query_id", "chunk_id", "rank")
     full = R.hydrate_hits(hits, chunks_of(c), c.circulars)
     return full.withColumn("digest", F.sha2("text", 256)).drop("text")
 
@@ -190,7 +187,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
 
 @query("distinct_document_ranking", _BY_SOURCE)
 def _(c: Corpora):
-    hits = R.retrieve(queries_of(c), chunks_of(c), "dense", top_k=50)
+    hits = R.retrieve(queries_of(c), chunks_of(c), "dense", vectors=c.vectors, top_k=50)
     named = hits.join(
         c.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document")), "chunk_id"
     )
@@ -210,7 +207,7 @@ def _days(c: Corpora):
 
 
 def _valid(c: Corpora):
-    return R.validity(chunks_of(c), c.circulars, supersessions_of(c))
+    return R.validity(chunks_of(c), c.circulars, c.supersessions)
 
 
 @query(
@@ -221,7 +218,7 @@ def _valid(c: Corpora):
   WHERE issue_date <= as_of AND (out_since IS NULL OR out_since > as_of)) WHERE rank <= 8""",
 )
 def _(c: Corpora):
-    hits = R.retrieve(_days(c), chunks_of(c), "dense", valid=_valid(c))
+    hits = R.retrieve(_days(c), chunks_of(c), "dense", vectors=c.vectors, valid=_valid(c))
     return hits.select("query_id", "chunk_id", "rank", "score")
 
 
@@ -237,12 +234,12 @@ SELECT DISTINCT query_id, chunk_id AS circular_id FROM f JOIN query_days USING (
 WHERE rank <= 8 AND out_since <= as_of""",
 )
 def _(c: Corpora):
-    return R.temporal_exclusions(_days(c), chunks_of(c), _valid(c))
+    return R.temporal_exclusions(_days(c), chunks_of(c), _valid(c), postings=c.postings, vectors=c.vectors)
 
 
 def relevance_of(c: Corpora):
     """Documents holding the passage: a verbatim copy holds all its words, so only matches are compared."""
-    found = R.matching_chunks(R.query_terms_table(queries_of(c)), I.index_text(chunks_of(c)))
+    found = R.matching_chunks(R.query_terms_table(queries_of(c)), c.postings)
     texts = chunks_of(c).select("chunk_id", F.col("text").alias("body"))
     return (
         found.select("query_id", "chunk_id")
@@ -263,7 +260,7 @@ SELECT 'lexical' AS mode, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELS
   round(avg(coalesce(1.0 / r, 0)), 6) AS mrr_10 FROM got""",
 )
 def _(c: Corpora):
-    hits = R.lexical_topk(queries_of(c), I.index_text(chunks_of(c)))
+    hits = R.lexical_topk(queries_of(c), c.postings)
     named = hits.withColumn("document", F.col("chunk_id").cast("string"))
     ranked = R.distinct_document_ranking(named)
     outcomes = relevance_of(c).join(ranked, "query_id", "left").withColumns(
