@@ -266,10 +266,13 @@ def resolve_quote(quote: Column, source: Column) -> Column:
         r"\s+",
     )
     pattern = F.concat(F.lit(U), loose)
-    at = F.regexp_instr(source, pattern)
+    # The text of the first match first occurs where that match is; positions of regexp_instr
+    # count UTF-16 units, those of position count code points.
+    hit = F.regexp_substr(source, pattern)
+    at = F.coalesce(F.position(hit, source), F.lit(0))
     usable = (body != "") & (source != "")
     start = F.when(usable & (exact > 0), exact - 1).when(usable & (at > 0), at - 1)
-    size = F.when(exact > 0, F.length(body)).otherwise(F.length(F.regexp_substr(source, pattern)))
+    size = F.when(exact > 0, F.length(body)).otherwise(F.length(hit))
     return F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end")))
 
 

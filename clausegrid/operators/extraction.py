@@ -34,9 +34,9 @@ def extract_obligations(
         (F.col("start") + marker).alias("char_start"),
         T.rstrip(F.substring(sentence, marker + 1, F.length(sentence))).alias("body"),
     )
-    at = F.regexp_instr("body", F.lit(T.U + modal))
+    at = F.length(F.element_at(F.split("body", T.U + modal, 2), 1)) + 1
     hit = F.regexp_substr("body", F.lit(T.U + modal))
-    found = parts.where(at > 0).withColumns({"__at": at, "modality": hit})
+    found = parts.where(T.found(F.col("body"), modal)).withColumns({"__at": at, "modality": hit})
     if excluded:
         found = found.where(~T.found(F.col("body"), excluded))
     tail = F.substring("body", F.col("__at") + F.length("modality"), F.length("body"))
