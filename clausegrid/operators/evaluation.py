@@ -192,10 +192,12 @@ def cluster_bootstrap(
         .where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
         .withColumn("__base", F.coalesce(F.sum("__k").over(groups), F.lit(0)))
     )
+    # A few small rows become very many: a fixed number keeps them from being merged into one task.
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
     numbered = placed.join(F.broadcast(sizes), keys).withColumn("__row", F.col("__base") + F.col("__i"))
     drawn = (
         numbered.select(*keys, "__i", "__k", "__base")
-        .repartition(*keys, "__i")
+        .repartition(spread, *keys, "__i")
         .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .select(
             "__b",
