@@ -228,9 +228,11 @@ def snapshot_export(
     obligations: DataFrame,
     packs: DataFrame,
     clauses: DataFrame,
+    runs: DataFrame,
 ) -> DataFrame:
     """Findings with located quotes as review records with a hash of everything shown.
 
+    ``runs`` (assessment_id, provider, model, graph_version) says what made the findings.
     Rows are flat until the last projection; the JSON text has its keys sorted and the hash is
     taken over that text. Quotes come from the obligation and the clause the spans lie in.
     """
@@ -258,7 +260,9 @@ def snapshot_export(
         .join(o, "obligation_id")
         .join(g, "policy_pack_id")
         .join(c, "policy_clause_id")
+        .join(runs, "assessment_id")
     )
+    by_rule = F.col("provider") == "deterministic"
     start = (F.col("circular_span_start") - F.col("__os")).cast("int")
     end = (F.col("circular_span_end") - F.col("__os")).cast("int")
     corpus = F.when(F.coalesce("source_url", F.lit("")).startswith("synthetic://"), "synthetic").otherwise("real")
@@ -278,6 +282,13 @@ def snapshot_export(
         F.struct(
             F.col("id").alias("finding_id"), F.col("impact_type"), F.col("quote_status"), F.col("rationale")
         ).alias("finding"),
+        F.struct(
+            by_rule.alias("deterministic"),
+            F.col("graph_version"),
+            F.col("model"),
+            F.when(by_rule, "deterministic rule-based judge").otherwise("real model").alias("output"),
+            F.col("provider"),
+        ).alias("generator"),
         F.lit("assessment_finding").alias("kind"),
         F.struct(F.col("clause_number"), F.col("clause_text"), F.col("heading"), F.col("pack"), F.col("version")).alias("policy"),
     )

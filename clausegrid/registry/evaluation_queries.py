@@ -533,14 +533,21 @@ _EXPORT = """SELECT a.run_id || '/' || f.id AS record_id, CASE WHEN k.source_url
     'circular': {'char_end': f.circular_span_end, 'char_start': f.circular_span_start, 'circular_number': k.circular_number,
       'corpus': CASE WHEN k.source_url LIKE 'synthetic://%' THEN 'synthetic' ELSE 'real' END, 'document_sha256': k.checksum, 'obligation': o.text, 'quote': o.text,
       'source_url': k.source_url, 'title': k.title},
-    'finding': {'finding_id': f.id, 'impact_type': f.impact_type, 'quote_status': f.quote_status, 'rationale': f.rationale}, 'kind': 'assessment_finding',
+    'finding': {'finding_id': f.id, 'impact_type': f.impact_type, 'quote_status': f.quote_status, 'rationale': f.rationale},
+    'generator': {'deterministic': a.policy_pack_id <= 12, 'graph_version': 'g-1', 'model': 'm-1',
+      'output': CASE WHEN a.policy_pack_id <= 12 THEN 'deterministic rule-based judge' ELSE 'real model' END,
+      'provider': CASE WHEN a.policy_pack_id <= 12 THEN 'deterministic' ELSE 'remote' END}, 'kind': 'assessment_finding',
     'policy': {'clause_number': c.clause_number, 'clause_text': c.text, 'heading': c.heading, 'pack': g.name, 'version': g.version}}) AS VARCHAR) AS snapshot
 FROM findings f JOIN assessments a ON a.id = f.assessment_id JOIN circulars k ON k.id = a.circular_id JOIN obligations o ON o.id = f.obligation_id
 JOIN packs g ON g.id = a.policy_pack_id JOIN clauses c ON c.id = f.policy_clause_id WHERE f.quote_status = 'VERIFIED' AND a.status = 'COMPLETED'"""
 
 
 def _export(c: Corpora):
-    return L.snapshot_export(c.findings, c.assessments, c.circulars, c.obligations, c.packs, c.clauses)
+    provider = F.when(F.col("policy_pack_id") > 12, "remote").otherwise("deterministic")
+    runs = c.assessments.select(
+        F.col("id").alias("assessment_id"), provider.alias("provider"), F.lit("m-1").alias("model"), F.lit("g-1").alias("graph_version")
+    )
+    return L.snapshot_export(c.findings, c.assessments, c.circulars, c.obligations, c.packs, c.clauses, runs)
 
 
 @query("snapshot_export", f"SELECT *, sha256(snapshot) AS snapshot_sha256 FROM ({_EXPORT})")
