@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import mixing
+from clausegrid.llm import mixing, quality
 from clausegrid.llm.common import table
 
 
+def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.assess_quality(table(spark, folder, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources,)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op7_mix_sources)}
 ORACLE = {"op7_mix_sources": mixing.SQL}
