@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import mixing, quality
+from clausegrid.llm import bpe, mixing, quality
 from clausegrid.llm.common import table
 
 
+#: The vocabulary file; it must be readable under this path on every executor.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), VOCABULARY)
+
+
 def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess_quality(table(spark, folder, "documents"))
 
@@ -16,5 +25,5 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op7_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op7_mix_sources)}
 ORACLE = {"op7_mix_sources": mixing.SQL}
