@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, mixing, quality
+from clausegrid.llm import bpe, mixing, quality, warc
 from clausegrid.llm.common import table
 
 
@@ -21,9 +21,14 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess_quality(table(spark, folder, "documents"))
 
 
+def op6_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op7_mix_sources)}
-ORACLE = {"op7_mix_sources": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op6_warc_salvage, op7_mix_sources)}
+ORACLE = {"op6_warc_salvage": warc.SQL, "op7_mix_sources": mixing.SQL}
