@@ -24,8 +24,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 #: Pieces and distinct pieces gathered before they are encoded together; both bound a task's memory.
-BATCH_PIECES = 6_000_000
-KNOWN_PIECES = 500_000
+BATCH_PIECES = 3_000_000
+KNOWN_PIECES = 150_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -125,11 +125,11 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
         # Position n stands for "none": after a piece's last symbol, and before its first.
         symbol = np.append(self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)], np.int32(-1))
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[ends - lengths] = n, n
         alive = np.ones(n + 1, bool)
         rank = np.full(n + 1, NONE)
-        inner = np.flatnonzero(after[:n] < n)
+        inner = np.flatnonzero(after[:n] < n).astype(np.int32)
         rank[inner] = self.ranks(symbol[inner], symbol[inner + 1])
         listed = inner[rank[inner] != NONE]
         listed = listed[np.argsort(rank[listed], kind="stable")]
@@ -182,7 +182,7 @@ class Vocabulary:
             if p != taken:
                 kept.append(p)
                 taken = q
-        return np.array(kept, np.int64)
+        return np.array(kept, np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +208,7 @@ class _Encoder:
         for p in set(pieces).difference(number):
             number[p] = len(number)
             self.new.append(p)
-        return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        return np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces))
 
     def _learn(self):
         special = self.vocab.specials
