@@ -291,6 +291,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to archives and reports what the salvage reader finds in them again."""
     index = write_archives(pages)
     files = index.select("file").distinct()
+    files = files.repartition(max(1, files.count()))  # a task for each archive; left alone, few tasks get all
     return (
         read_archives(files, payloads=False)
         .where("kind = 'record'")
