@@ -1,9 +1,11 @@
 """Documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Shingles are hashed into 64 groups; a set is the point of its group counts, and two sets share no more
-than the sum of the coordinate minima of their points. Points that could be similar are brought
-together, indexed there in an R-tree whose nodes hold the coordinate maxima, and the pairs whose bound
-is high enough are verified on their whole sets.
+Shingles are hashed into groups, about an eighth as many as the set has shingles and 64 at least; a set
+is the point of its group counts, and two sets share no more than the sum of the coordinate minima of
+their points. Numbers of groups are powers of two, so a finer point is folded to compare it with a coarser
+one. Points that could be similar are brought together, indexed there (folded to
+64) in an R-tree whose nodes hold the coordinate maxima, and the pairs whose bound is high enough, folded
+and then in full, are verified on their whole sets.
 
 Bringing points together: of two sets with similarity s, both hold one of the other's first
 ``n - ceil(s n) + 1`` shingles in any common order. The order is: shingles of at most ``COMMON`` sets
@@ -40,6 +42,27 @@ def prefix_length(n):
     return n - (NUMBER * n + OF - 1) // OF + 1
 
 
+def point_of(hashes: np.ndarray) -> bytes:
+    """The group counts of a set, as unsigned 16-bit numbers."""
+    bits = min(max(6, int(len(hashes) // 8).bit_length()), 16)
+    groups = np.bincount(hashes.view(np.uint64) >> np.uint64(64 - bits), minlength=1 << bits)
+    return groups.astype("<u2").tobytes()
+
+
+def _folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(groups, -1).sum(axis=1)
+
+
+def coarse(points: list[bytes]) -> np.ndarray:
+    return np.array([_folded(np.frombuffer(p, "<u2"), GROUPS) for p in points], np.int32).reshape(-1, GROUPS)
+
+
+def shared_at_most(a: bytes, b: bytes) -> int:
+    a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    groups = min(len(a), len(b))
+    return int(np.minimum(_folded(a, groups), _folded(b, groups)).sum())
+
+
 def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and, of the whole text: n, digest of the set, its least hashes, group counts."""
     kept = docs.select(*keep, "text")
@@ -51,7 +74,7 @@ def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
                 batch = whole.slice(at, 500)
                 sets = [shingle_set(d) for d in text_bytes(batch.column(batch.num_columns - 1))]
                 least = [s[: prefix_length(len(s)) + len(s) // 20 + 8] for s in sets]
-                points = [np.bincount(s.view(np.uint64) >> np.uint64(58), minlength=GROUPS).astype("<i4").tobytes() for s in sets]
+                points = [point_of(s) for s in sets]
                 new = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()),
@@ -70,7 +93,7 @@ def _id_key() -> Column:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``row, hashes`` of the sets ``wanted`` (row, doc_id, set): their texts are read again.
 
-    Each set is fetched once, whatever the number of documents that have it.
+    A set comes once, whatever the number of documents that have it, or more often where ids repeat.
     """
     ids = wanted.select(F.xxhash64(_id_key()).alias("id_hash")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -83,7 +106,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), list_array(sets, pa.int64())], names=["set", "hashes"])
 
     found = texts.mapInArrow(run, "set binary, hashes array<long>")
-    return stored(found.join(wanted.select("row", "set"), "set").select("row", "hashes").dropDuplicates(["row"]), "sets")
+    rows = wanted.select("row", "set")
+    return stored(found.join(F.broadcast(rows) if few else rows, "set").select("row", "hashes"), "sets")
 
 
 def _prefixes(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
@@ -111,7 +135,7 @@ def _prefixes(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFra
     )
     # Sets that consist of common shingles for the most part: the order over all of their shingles.
     own = _sets(docs, members.join(short, "row").select("row", "doc_id", "set"))
-    of_all = own.select("row", F.explode("hashes").alias("hash")).join(
+    of_all = own.select("row", F.explode("hashes").alias("hash")).distinct().join(
         common.select("hash").distinct().withColumn("is_common", F.lit(True)), "hash", "left"
     )
     ordered = of_all.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("is_common", F.lit(False)).alias("c"), F.col("hash").alias("h")))).alias("s"))
@@ -132,8 +156,8 @@ def _similar(both: int, a: int, b: int) -> bool:
     return OF * both >= NUMBER * (a + b - both)
 
 
-def _verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs ``a, b`` those that are similar: first by the bound of their points, then exactly."""
+def _hopeful(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Of the pairs ``a, b`` those whose sizes and points allow them to be similar."""
     side = lambda x: points.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.where((OF * F.col("n_a") >= NUMBER * F.col("n_b")) & (OF * F.col("n_b") >= NUMBER * F.col("n_a")))
@@ -142,12 +166,19 @@ def _verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 x = whole.slice(at, 4096)
-                counts = [np.frombuffer(b"".join(x.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("point_a", "point_b")]
+                most = map(shared_at_most, x.column("point_a").to_pylist(), x.column("point_b").to_pylist())
                 n = x.column("n_a").to_numpy() + x.column("n_b").to_numpy()
-                fits = np.minimum(*counts).sum(axis=1) >= needed(n)
+                fits = np.fromiter(most, np.int64, len(n)) >= needed(n)
                 yield x.select(["a", "b"]).filter(pa.array(fits))
 
-    hopeful = sized.mapInArrow(bounded, pairs.select("a", "b").schema)
+    return sized.mapInArrow(bounded, pairs.select("a", "b").schema)
+
+
+def _verified(hopeful: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of the pairs ``a, b`` those that are similar, by their whole sets."""
+    hopeful = stored(hopeful, "hopeful")
+    ends = hopeful.select(F.col("a").alias("row")).union(hopeful.select("b")).distinct()
+    sets = _sets(docs, reps.join(ends, "row"))
     hashes = lambda x: sets.select(F.col("row").alias(x), F.col("hashes").alias(f"hashes_{x}"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +254,17 @@ def _indexed_pairs(mixed: DataFrame) -> DataFrame:
 
     def of_bucket(rows: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         row, n, root, own = (rows.column(c).to_numpy() for c in ("row", "n", "root", "own"))
-        counts = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
+        points = rows.column("point").to_pylist()
+        counts = coarse(points)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if not len(left) or not len(right):
             return row[:0], row[:0]
         q, p = CountTree(counts[left], n[left]).partners(counts[right], n[right])
         a, b = left[p], right[q]
         good = (root[a] != root[b]) & ((row[a] < row[b]) | (i != j))
+        a, b = a[good], b[good]
+        most = np.fromiter((shared_at_most(points[x], points[y]) for x, y in zip(a.tolist(), b.tolist())), np.int64, len(a))
+        good = most >= needed(n[a] + n[b])
         a, b = row[a[good]], row[b[good]]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -289,19 +324,18 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = buckets.join(sizes, "hash")
     wanted = stored(buckets.select("row").distinct(), "wanted")
     reps = members.where("row = rep").select("row", "doc_id", "set")
-    sets = _sets(docs, reps.join(wanted, "row"))
     light = stored(points.select("row", "n", "point").join(wanted, "row"), "points")
     # First every set of a bucket against one and the same of them, which settles tight groups in one go.
     star = buckets.where("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
     star = stored(star, "star")
-    links = stored(_verified(star, light, sets), "links")
+    links = stored(_verified(_hopeful(star, light), docs, reps), "links")
     roots = stored(components(links), "roots")
     # Then what is still apart in a bucket of three or more.
     labelled = buckets.where("held > 2").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     apart = labelled.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
     mixed = labelled.join(apart, "hash", "left_semi").join(light, "row").select("hash", "held", "row", "n", "point", "root")
     rest = _indexed_pairs(mixed).join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest, "pairs"), light, sets), "links")
+    more = stored(_verified(rest, docs, reps), "links")
     if more.isEmpty():
         return members, roots
     return members, stored(components(links.union(more)), "roots")
