@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, mixing, ngram_join, quality, warc
+from clausegrid.llm import bpe, mixing, ngram_join, quality, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -30,9 +30,13 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op8_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op6_warc_salvage, op7_mix_sources, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op6_warc_salvage, op7_mix_sources, op8_secret_forest, op10_ngram_jaccard)}
 ORACLE = {"op6_warc_salvage": warc.SQL, "op7_mix_sources": mixing.SQL}
