@@ -1,43 +1,13 @@
 """The n-gram Jaccard join against brute force."""
 
 import random
-import re
 
 import numpy as np
 import pytest
+from brute import shingles, similar_groups
 
 from clausegrid.llm import ngram_join as nj
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
-
-
-def shingles(text):
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    w = WORD.findall(lower)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
-
-
 def corpus(seed, n=150, near=60):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
@@ -71,7 +41,7 @@ def test_agrees_with_brute_force(spark, monkeypatch, seed, common):
     rows += [(None, rows[3][1]), (None, rows[160][1]), (rows[5][0], rows[5][1]), (rows[5][0], rows[200][1])]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, row string")
     got = sorted((tuple(r) for r in nj.similar_documents(docs).collect()), key=repr)
-    assert got == brute(rows)
+    assert got == similar_groups(rows)
 
 
 def test_one_of_each(spark):
@@ -81,7 +51,7 @@ def test_one_of_each(spark):
     kept = nj.one_of_each(docs)
     assert kept.columns == docs.columns
     left = [(r.doc_id, r.text) for r in kept.collect()]
-    comp = brute(rows)
+    comp = similar_groups(rows)
     with_words = {c for d, n, c in comp if n and c is not None}
     assert sorted(d for d, t in left if shingles(t) and d is not None) == sorted(with_words)
     assert sum(1 for d, t in left if d is None and shingles(t)) == 1
