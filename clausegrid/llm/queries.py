@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, mixing, ngram_join, quality, secret_scan, warc
+from clausegrid.llm import bpe, lengths, licences, mixing, ngram_join, quality, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess_quality(table(spark, folder, "documents"))
 
 
+def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    counted = lengths.encoded_lengths(table(spark, folder, "documents"), VOCABULARY, ("source",))
+    return lengths.context_totals(lengths.length_histogram(counted, ("source",)), ("source",))
+
+
 def op6_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archived_pages(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,9 +39,25 @@ def op8_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+def op9_licence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.recognise(table(spark, folder, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_robust_outliers, op6_warc_salvage, op7_mix_sources, op8_secret_forest, op10_ngram_jaccard)}
-ORACLE = {"op6_warc_salvage": warc.SQL, "op7_mix_sources": mixing.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_robust_outliers,
+        op3_length_histogram,
+        op6_warc_salvage,
+        op7_mix_sources,
+        op8_secret_forest,
+        op9_licence_rules,
+        op10_ngram_jaccard,
+    )
+}
+ORACLE = {"op6_warc_salvage": warc.SQL, "op7_mix_sources": mixing.SQL, "op9_licence_rules": licences.check_sql()}
