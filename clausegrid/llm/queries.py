@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, lengths, licences, mixing, ngram_join, quality, secret_scan, warc
+from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, quality, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.context_totals(lengths.length_histogram(counted, ("source",)), ("source",))
 
 
+def op5_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archived_pages(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,6 +57,7 @@ QUERIES = {
         op1_bpe_round_trip,
         op2_robust_outliers,
         op3_length_histogram,
+        op5_cap_filters,
         op6_warc_salvage,
         op7_mix_sources,
         op8_secret_forest,
