@@ -1,11 +1,11 @@
 """Documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Shingles are hashed into groups, about an eighth as many as the set has shingles and 64 at least; a set
+Shingles are hashed into groups, about half as many as the set has shingles and 64 at least; a set
 is the point of its group counts, and two sets share no more than the sum of the coordinate minima of
 their points. Numbers of groups are powers of two, so a finer point is folded to compare it with a coarser
 one. Points that could be similar are brought together, indexed there (folded to
-64) in an R-tree whose nodes hold the coordinate maxima, and the pairs whose bound is high enough, folded
-and then in full, are verified on their whole sets.
+the coarsest of them) in an R-tree whose nodes hold the coordinate maxima, and the pairs whose bound is
+high enough, folded and then in full, are verified on their whole sets.
 
 Bringing points together: of two sets with similarity s, both hold one of the other's first
 ``n - ceil(s n) + 1`` shingles in any common order. The order is: shingles of at most ``COMMON`` sets
@@ -27,7 +27,8 @@ from clausegrid.llm.components import components
 from clausegrid.llm.shingles import digest, list_array, shingle_set, text_bytes
 
 NUMBER, OF = 4, 5  # similarity 4/5
-GROUPS = 64
+#: A point has 2**6 groups at least; folded together in one index, 1,024 at most.
+GROUP_BITS, MAX_GROUPS = 6, 1024
 #: Sets holding a shingle from which on it counts as common and goes to the end of the order.
 COMMON = 256
 #: Points of one bucket that a task indexes at once; larger buckets are joined block by block.
@@ -35,6 +36,8 @@ BLOCK = 1024
 #: Ids (8 bytes each) up to which a list of documents is broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 LEAF = 16
+#: Rounds in which the sets of a bucket are held against one of them, before what is left is indexed.
+STARS = 3
 
 
 def prefix_length(n):
@@ -43,22 +46,30 @@ def prefix_length(n):
 
 
 def point_of(hashes: np.ndarray) -> bytes:
-    """The group counts of a set, as unsigned 16-bit numbers."""
-    bits = min(max(6, int(len(hashes) // 8).bit_length()), 16)
+    """The group counts of a set: a byte that says how wide they are, and the counts."""
+    bits = min(max(GROUP_BITS, int(len(hashes) // 3).bit_length()), 24)
     groups = np.bincount(hashes.view(np.uint64) >> np.uint64(64 - bits), minlength=1 << bits)
-    return groups.astype("<u2").tobytes()
+    width = 1 if groups.max(initial=0) < 1 << 8 else 4
+    return bytes([width]) + groups.astype(f"<u{width}").tobytes()
 
 
-def _folded(point: np.ndarray, groups: int) -> np.ndarray:
-    return point if len(point) == groups else point.reshape(groups, -1).sum(axis=1)
+def counts_of(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"<u{point[0]}", offset=1)
 
 
-def coarse(points: list[bytes]) -> np.ndarray:
-    return np.array([_folded(np.frombuffer(p, "<u2"), GROUPS) for p in points], np.int32).reshape(-1, GROUPS)
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1)
+
+
+def folded_points(points: list[bytes]) -> np.ndarray:
+    """Points of one number of groups, the least among them and ``MAX_GROUPS`` at most."""
+    counts = [counts_of(p) for p in points]
+    groups = min(MAX_GROUPS, min(map(len, counts)))
+    return np.array([_folded(c, groups) for c in counts]).astype(np.int32)
 
 
 def shared_at_most(a: bytes, b: bytes) -> int:
-    a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    a, b = counts_of(a), counts_of(b)
     groups = min(len(a), len(b))
     return int(np.minimum(_folded(a, groups), _folded(b, groups)).sum())
 
@@ -255,7 +266,7 @@ def _indexed_pairs(mixed: DataFrame) -> DataFrame:
     def of_bucket(rows: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         row, n, root, own = (rows.column(c).to_numpy() for c in ("row", "n", "root", "own"))
         points = rows.column("point").to_pylist()
-        counts = coarse(points)
+        counts = folded_points(points)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if not len(left) or not len(right):
             return row[:0], row[:0]
@@ -319,28 +330,50 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     points = filled.join(F.broadcast(copies) if few else copies, "row", "left_anti").select("row", "n", "least", "point")
     buckets = stored(_prefixes(docs, points, members), "buckets")
-    sizes = buckets.groupBy("hash").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("row").alias("o"), "row")).alias("first")).where("held > 1")
-    sizes = stored(sizes.select("hash", "held", F.col("first.row").alias("pivot")), "pivots")
-    buckets = buckets.join(sizes, "hash")
+    sizes = buckets.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
+    buckets = stored(buckets.join(sizes, "hash"), "met")
     wanted = stored(buckets.select("row").distinct(), "wanted")
     reps = members.where("row = rep").select("row", "doc_id", "set")
     light = stored(points.select("row", "n", "point").join(wanted, "row"), "points")
-    # First every set of a bucket against one and the same of them, which settles tight groups in one go.
-    star = buckets.where("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
-    star = stored(star, "star")
-    links = stored(_verified(_hopeful(star, light), docs, reps), "links")
-    roots = stored(components(links), "roots")
-    # Then what is still apart in a bucket of three or more.
-    labelled = buckets.where("held > 2").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    apart = labelled.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
-    mixed = labelled.join(apart, "hash", "left_semi").join(light, "row").select("hash", "held", "row", "n", "point", "root")
-    rest = _indexed_pairs(mixed).join(star, ["a", "b"], "left_anti")
+    labelled, tested, links = buckets.withColumn("root", F.col("row")), None, None
+    # First every set of a bucket against one and the same of them, then of what is still apart against
+    # another one, and so on: that settles tight groups without their pairs.
+    for k in range(STARS):
+        pairs = _star(labelled, k)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "star")
+        tested = pairs if tested is None else tested.union(pairs)
+        new = stored(_verified(_hopeful(pairs, light), docs, reps), "links")
+        if k and new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        roots = stored(components(links), "roots")
+        labelled = _apart(buckets.where("held > 2"), roots)
+    mixed = labelled.join(light, "row").select("hash", "held", "row", "n", "point", "root")
+    rest = _indexed_pairs(mixed).join(tested, ["a", "b"], "left_anti")
     more = stored(_verified(rest, docs, reps), "links")
     if more.isEmpty():
         return members, roots
     return members, stored(components(links.union(more)), "roots")
 
 
+def _star(labelled: DataFrame, k: int) -> DataFrame:
+    """In each bucket, one row (the first by a hash that depends on k) against those of other components."""
+    order = F.struct(F.xxhash64("row", F.lit(k)).alias("o"), "row", "root")
+    first = labelled.groupBy("hash").agg(F.min(order).alias("first")).select("hash", "first.row", "first.root")
+    first = first.toDF("hash", "pivot", "pivot_root")
+    pairs = labelled.join(first, "hash").where("root <> pivot_root")
+    return pairs.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+
+
+def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows, with their components, of buckets that hold more than one component."""
+    labelled = buckets.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    apart = labelled.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
+    return stored(labelled.join(apart, "hash", "left_semi"), "apart")
+
+
 def _classed(docs: DataFrame) -> DataFrame:
     """``doc_id, n, set, root, component_id``; root is null for documents without shingles."""
     members, roots = _linked(docs)

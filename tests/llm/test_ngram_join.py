@@ -66,8 +66,8 @@ def test_empty_table(spark):
 
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(5)
-    counts = rng.poisson(3, (300, nj.GROUPS)).astype(np.int32)
-    counts[200:] = counts[:100] + (rng.random((100, nj.GROUPS)) < 0.05)
+    counts = rng.poisson(3, (300, 64)).astype(np.int32)
+    counts[200:] = counts[:100] + (rng.random((100, 64)) < 0.05)
     sizes = counts.sum(axis=1).astype(np.int64)
     q, p = nj.CountTree(counts, sizes).partners(counts, sizes)
     found = set(zip(q.tolist(), p.tolist()))
