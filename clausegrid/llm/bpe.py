@@ -12,6 +12,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,30 @@ class _Encoder:
         return out
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+    """Stretches of rows: their columns but the last, the text, and the packed ids of each text."""
+    encoder = _Encoder(vocabulary(path))
+    waiting, rows, pieces = [], [], 0
+
+    def done():
+        table = pa.Table.from_batches(rows).combine_chunks()
+        return [c.chunk(0) for c in table.columns], encoder.flush(waiting)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            for text in part.column(part.num_columns - 1).to_pylist():
+                waiting.append(encoder.numbers(text or ""))
+                pieces += len(waiting[-1])
+            # A copy, so that the texts of the whole batch are not held along.
+            rows.append(part.select(list(range(part.num_columns - 1))).take(pa.array(range(part.num_rows))))
+            if pieces >= BATCH_PIECES or len(encoder.number) > KNOWN_PIECES:
+                yield done()
+                waiting, rows, pieces = [], [], 0
+    if rows:
+        yield done()
+
+
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``ids``: token ids of ``text``, packed as little-endian unsigned 32-bit.
 
@@ -243,38 +268,25 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     other columns are not read. ``path`` must be readable on every executor. A task holds the distinct
     pieces of its texts up to ``KNOWN_PIECES`` (then it forgets them) and one very long text at a time.
     """
-    kept = docs.select(*keep, "text")
-    schema = kept.drop("text").withColumn("ids", F.lit(b"")).schema
+    kept = docs.select(*(F.col(c) for c in keep), F.col("text").alias("__text"))
+    schema = kept.drop("__text").withColumn("ids", F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(vocabulary(path))
-        waiting, rows, pieces = [], [], 0
+        for columns, packed in _encoded(batches, path):
+            out = pa.Table.from_arrays([*columns, pa.array(packed, pa.binary())], names=schema.names)
+            yield from out.to_batches(max_chunksize=1000)
 
-        def done():
-            ids = pa.array(encoder.flush(waiting), pa.binary())
-            table = pa.Table.from_batches(rows).combine_chunks()
-            columns = [table.column(i) for i in range(table.num_columns)]
-            out = pa.Table.from_arrays([*columns, ids], names=[*table.column_names, "ids"])
-            return out.to_batches(max_chunksize=1000)
+    return kept.mapInArrow(run, schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    waiting.append(encoder.numbers(text or ""))
-                    pieces += len(waiting[-1])
-                rows.append(part.select(list(range(part.num_columns - 1))))
-                if pieces >= BATCH_PIECES or len(encoder.number) > KNOWN_PIECES:
-                    yield from done()
-                    waiting, rows, pieces = [], [], 0
-        if rows:
-            yield from done()
 
-    return kept.mapInArrow(run, schema)
+def decoded(vocab: Vocabulary, packed: bytes) -> str:
+    ids = np.frombuffer(packed, "<u4")
+    known = vocab.bytes_of
+    return b"".join(map(known.__getitem__, ids[ids < len(known)].tolist())).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``text`` from its packed ``ids``; special tokens become their strings.
+    """``encoded`` with ``decoded``, the text of its packed ``ids``; special tokens become their strings.
 
     Bytes that are no UTF-8 become U+FFFD. Null ids, or none: the empty text. Ids the vocabulary
     lacks stand for nothing.
@@ -284,25 +296,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        known = len(vocab.bytes_of)
         for batch in batches:
-            texts = []
-            for packed in batch.column(at):
-                ids = np.frombuffer(packed.as_py() or b"", "<u4")
-                ids = ids[ids < known].tolist()
-                texts.append(b"".join(map(vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace"))
-            out = [*batch.columns, pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "decoded"])
+            texts = [decoded(vocab, packed.as_py() or b"") for packed in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``n_tokens``, and SHA-256 of the packed ids and of the decoded text, per row."""
-    both = decode(encode(docs, path, keep), path)
-    return both.select(
-        *keep,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """``keep`` columns, ``n_tokens``, and SHA-256 of the packed ids and of the text decoded from them.
+
+    ``encode`` and ``decode`` in one pass over the texts: neither ids nor decoded texts leave the task.
+    Rows as in ``encode``.
+    """
+    kept = docs.select(*(F.col(c) for c in keep), F.col("text").alias("__text"))
+    schema = kept.drop("__text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for columns, packed in _encoded(batches, path):
+            new = [
+                pa.array([len(p) // 4 for p in packed], pa.int64()),
+                pa.array([sha256(p).hexdigest() for p in packed], pa.string()),
+                pa.array([sha256(decoded(vocab, p).encode()).hexdigest() for p in packed], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
