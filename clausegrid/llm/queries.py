@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, quality, secret_scan, warc
+from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, quality, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.context_totals(lengths.length_histogram(counted, ("source",)), ("source",))
 
 
+def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 def op5_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
     return caps.near_vectors(table(spark, folder, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
         op1_bpe_round_trip,
         op2_robust_outliers,
         op3_length_histogram,
+        op4_compact_windows,
         op5_cap_filters,
         op6_warc_salvage,
         op7_mix_sources,
