@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from clausegrid.llm.common import bound_batches
+
 # How published byte-level vocabularies split text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 #: Pieces and distinct pieces gathered before they are encoded together; both bound a task's memory.
-BATCH_PIECES = 3_000_000
-KNOWN_PIECES = 150_000
+BATCH_PIECES = 2_000_000
+KNOWN_PIECES = 120_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -268,6 +270,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     other columns are not read. ``path`` must be readable on every executor. A task holds the distinct
     pieces of its texts up to ``KNOWN_PIECES`` (then it forgets them) and one very long text at a time.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.select(*(F.col(c) for c in keep), F.col("text").alias("__text"))
     schema = kept.drop("__text").withColumn("ids", F.lit(b"")).schema
 
@@ -309,6 +312,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     ``encode`` and ``decode`` in one pass over the texts: neither ids nor decoded texts leave the task.
     Rows as in ``encode``.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.select(*(F.col(c) for c in keep), F.col("text").alias("__text"))
     schema = kept.drop("__text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

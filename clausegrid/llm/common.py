@@ -20,8 +20,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most from now on in this session: rows can be long texts or sets."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once to the shared folder and read again: lineage ends there."""
+    bound_batches(df.sparkSession)
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

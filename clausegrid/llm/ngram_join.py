@@ -37,7 +37,9 @@ BLOCK = 1024
 BROADCAST_IDS = 1_000_000
 LEAF = 16
 #: Rounds in which the sets of a bucket are held against one of them, before what is left is indexed.
-STARS = 3
+STARS = 2
+#: Common shingles (8 bytes each) up to which they are sent to every task; beyond, they are joined.
+BROADCAST_COMMON = 200_000
 
 
 def prefix_length(n):
@@ -146,18 +148,37 @@ def _prefixes(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFra
     )
     # Sets that consist of common shingles for the most part: the order over all of their shingles.
     own = _sets(docs, members.join(short, "row").select("row", "doc_id", "set"))
-    of_all = own.select("row", F.explode("hashes").alias("hash")).distinct().join(
-        common.select("hash").distinct().withColumn("is_common", F.lit(True)), "hash", "left"
-    )
-    ordered = of_all.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("is_common", F.lit(False)).alias("c"), F.col("hash").alias("h")))).alias("s"))
-    first = ordered.select("row", F.explode(F.slice("s", F.lit(1), prefix_length_column(F.size("s")))).alias("x"))
-    extra = stored(first.select(F.col("x.h").alias("hash"), "row"), "extra")
+    extra = stored(_common_last(own, common.select("hash").distinct()), "extra")
     # A rare shingle of theirs may be one that a single other set has among its least ones.
-    meeting = entries.join(extra.select("hash").distinct(), "hash", "left_semi").join(shared, "hash", "left_anti")
-    meeting = meeting.where(F.col("pos") < length + 8 + F.floor(F.col("n") / 20)).select("hash", "row")
+    theirs = stored(extra.select("hash").distinct(), "theirs")
+    few = theirs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    meeting = entries.join(F.broadcast(theirs) if few else theirs, "hash", "left_semi").join(shared, "hash", "left_anti").select("hash", "row")
     return plain.union(extra).union(meeting).distinct()
 
 
+def _common_last(sets: DataFrame, common: DataFrame) -> DataFrame:
+    """``hash, row``: the first shingles of whole sets (row, hashes), the common ones ordered last."""
+    known = common.limit(BROADCAST_COMMON + 1).collect()
+    if len(known) > BROADCAST_COMMON:
+        flagged = sets.select("row", F.explode("hashes").alias("hash")).distinct().join(common.withColumn("is_common", F.lit(True)), "hash", "left")
+        order = F.struct(F.coalesce("is_common", F.lit(False)).alias("c"), F.col("hash").alias("h"))
+        ordered = flagged.groupBy("row").agg(F.sort_array(F.collect_list(order)).alias("s"))
+        first = ordered.select("row", F.explode(F.slice("s", F.lit(1), prefix_length_column(F.size("s")))).alias("x"))
+        return first.select(F.col("x.h").alias("hash"), "row")
+    last = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in known], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for hashes in batch.column("hashes"):
+                hashes = hashes.values.to_numpy()
+                is_common = np.isin(hashes, last.value, assume_unique=True)
+                first.append(np.concatenate((hashes[~is_common], hashes[is_common]))[: prefix_length(len(hashes))])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), list_array(first, pa.int64())], names=["row", "first"])
+
+    return sets.mapInArrow(run, "row long, first array<long>").select(F.explode("first").alias("hash"), "row").distinct()
+
+
 def prefix_length_column(n="n") -> Column:
     n = F.col(n) if isinstance(n, str) else n
     return (n - F.floor((NUMBER * n + OF - 1) / OF) + 1).cast("int")
@@ -294,7 +315,7 @@ def _indexed_pairs(mixed: DataFrame) -> DataFrame:
             return
 
         def emit(table: pa.Table, last: bool):
-            if len(seen) > 500_000:
+            if len(seen) > 50_000:
                 seen.clear()
             new = []
             for a, b in buckets(table, last):
@@ -331,7 +352,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = filled.join(F.broadcast(copies) if few else copies, "row", "left_anti").select("row", "n", "least", "point")
     buckets = stored(_prefixes(docs, points, members), "buckets")
     sizes = buckets.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
-    buckets = stored(buckets.join(sizes, "hash"), "met")
+    buckets = stored(_distinct_buckets(buckets.join(sizes, "hash")), "met")
     wanted = stored(buckets.select("row").distinct(), "wanted")
     reps = members.where("row = rep").select("row", "doc_id", "set")
     light = stored(points.select("row", "n", "point").join(wanted, "row"), "points")
@@ -358,6 +379,17 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, stored(components(links.union(more)), "roots")
 
 
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """Of buckets with the same rows, one: a passage or a near copy brings its documents together often.
+
+    Only buckets of at most ``COMMON`` rows are compared, so that their lists of rows are short.
+    """
+    small = buckets.where(F.col("held") <= COMMON).groupBy("hash").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    one = small.groupBy("rows").agg(F.min("hash").alias("hash"))
+    kept = one.select("hash", F.explode("rows").alias("row"), F.size("rows").cast("long").alias("held"))
+    return kept.unionByName(buckets.where(F.col("held") > COMMON).select("hash", "row", "held"))
+
+
 def _star(labelled: DataFrame, k: int) -> DataFrame:
     """In each bucket, one row (the first by a hash that depends on k) against those of other components."""
     order = F.struct(F.xxhash64("row", F.lit(k)).alias("o"), "row", "root")
