@@ -21,8 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most from now on in this session: rows can be long texts or sets."""
+    """Arrow batches and Parquet row groups of 16 MB at most from now on in this session.
+
+    Rows can be long texts or sets, and tasks hold a batch and a row group at a time.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("parquet.block.size", str(16 << 20))
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
