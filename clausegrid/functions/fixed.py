@@ -58,7 +58,6 @@ REFERENCE = (
     rf"|{REFERENCE_DEPARTMENT}(?:[/-]{REFERENCE_SEGMENT}){{1,6}}[/-]\d{{4}}(?:[/-]\d{{1,4}})?"
     r")"
 )
-REFERENCE_MAX_CHARS = 255
 DATED = (
     r"(?i)\bdated\s+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4}"
     r"|\d{1,2}\s+[A-Z][a-z]+,?\s+\d{4}"

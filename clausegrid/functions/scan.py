@@ -87,3 +87,10 @@ def running_previous(
     carried = ends.select(*cells, F.lag("__end").over(before).alias("__pre"))
     joined = _rejoin(local, carried, cells)
     return joined.select(*df.columns, F.coalesce("__in", "__pre")["v"].alias(name))
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
+    """Left join on ``key`` in which rows without a key are dealt over ``pieces`` places, not to one."""
+    place = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(pieces))).otherwise(F.lit(0))
+    known = right.withColumn("__place", F.lit(0).cast("bigint"))
+    return left.withColumn("__place", place.cast("bigint")).join(known, [key, "__place"], "left").drop("__place")

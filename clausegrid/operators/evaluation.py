@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
 from clausegrid.functions.ranking import top_n
-from clausegrid.functions.scan import running_totals
+from clausegrid.functions.scan import left_join_spread, running_totals
 from clausegrid.session import cut_lineage
 
 
@@ -141,11 +140,14 @@ def latency_metrics(outcomes: DataFrame) -> DataFrame:
 
 
 DRAW_PRIME = 2**31 - 1
-SMALL_ROWS = 500_000  # rows of a few numbers each: some ten megabytes
+# Where a uniform number below the prime passes 1, 2, ... events of a Poisson distribution of mean 1.
+POISSON_STEPS = [
+    math.floor(DRAW_PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(9)
+]
 
 
-def resample_draw(resample: Column, draw: Column, k: Column, seed: int) -> Column:
-    """A number in 0..k-1 for each draw of each resample.
+def poisson_weight(cluster: Column, resample: Column, seed: int) -> Column:
+    """How often a resample takes a cluster: Poisson(1), from the cluster's name and the resample's number.
 
     Two rounds of the fifth power modulo a prime, which permutes the residues, mix the pair's
     number; plain integer arithmetic keeps billions of draws cheap and every engine agrees.
@@ -155,8 +157,10 @@ def resample_draw(resample: Column, draw: Column, k: Column, seed: int) -> Colum
         square = x * x % DRAW_PRIME
         return square * square % DRAW_PRIME * x % DRAW_PRIME
 
-    start = (resample.cast("long") * k + draw.cast("long") + seed) % DRAW_PRIME
-    return fifth((fifth(start) + seed) % DRAW_PRIME) % k
+    number = F.conv(F.substring(F.md5(cluster), 1, 7), 16, 10).cast("long")
+    start = (number + resample.cast("long") * 268435459 + seed) % DRAW_PRIME
+    drawn = fifth((fifth(start) + seed) % DRAW_PRIME)
+    return sum(((drawn >= step).cast("long") for step in POISSON_STEPS), F.lit(0).cast("long"))
 
 
 def cluster_bootstrap(
@@ -169,49 +173,23 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Percentile intervals of means under resampling of whole clusters, per key.
 
-    Rows shrink to sums per cluster. Every cluster then stands for one draw of each resample,
-    which picks the cluster drawn. The draws join the sums, which are sent to every task when
-    they are counted and few and exchanged otherwise; means per resample are combined before
-    they travel. Fewer than five clusters give no interval. The bounds are order statistics.
+    Rows shrink to sums per cluster. Each resample takes a cluster a Poisson-distributed number of
+    times, which needs no join, numbering or size of the whole; sums are combined in each task before
+    they travel, so that one row per key and resample does. Fewer than five clusters give no interval.
+    The bounds are order statistics of the resamples.
     """
     sums = rows.groupBy(*keys, "cluster").agg(
         F.count("*").alias("__n"), *[F.sum(m).alias(f"__s_{m}") for m in metrics]
     )
-    placed = running_totals(
-        sums.withColumn("__h", F.md5("cluster")),
-        keys,
-        {"range": F.substring("__h", 1, 3)},
-        ["__h", "cluster"],
-        {"__i": F.lit(1).cast("long")},
-    ).withColumn("__i", F.col("__i") - 1)
-    placed = cut_lineage(placed.drop("__h", "cluster"))
-    groups = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)  # one row per key
-    sizes = (
-        placed.groupBy(*keys)
-        .agg(F.count("*").alias("__k"))
-        .where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
-        .withColumn("__base", F.coalesce(F.sum("__k").over(groups), F.lit(0)))
-    )
-    # A few small rows become very many: a fixed number keeps them from being merged into one task.
-    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    numbered = placed.join(F.broadcast(sizes), keys).withColumn("__row", F.col("__base") + F.col("__i"))
-    drawn = (
-        numbered.select(*keys, "__i", "__k", "__base")
-        .repartition(spread, *keys, "__i")
-        .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .select(
-            "__b",
-            (F.col("__base") + resample_draw(F.col("__b"), F.col("__i"), F.col("__k"), seed)).alias("__row"),
-        )
+    drawn = sums.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
+        "__w", poisson_weight(F.col("cluster"), F.col("__b"), seed)
     )
-    few = placed.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    looked_up = numbered.select("__row", "__base", "__n", *[f"__s_{m}" for m in metrics])
-    per_base = (
-        drawn.join(F.broadcast(looked_up) if few else looked_up, "__row")
-        .groupBy("__base", "__b")
-        .agg(*[(F.sum(f"__s_{m}") / F.sum("__n")).alias(m) for m in metrics])
+    taken = F.sum(F.col("__w") * F.col("__n"))
+    means = (
+        drawn.groupBy(*keys, "__b")
+        .agg(F.count("*").alias("__k"), *[F.try_divide(F.sum(F.col("__w") * F.col(f"__s_{m}")), taken).alias(m) for m in metrics])
+        .where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
     )
-    means = per_base.join(F.broadcast(sizes.select(*keys, "__base")), "__base")
     tail = (1 - level) / 2
     low, high = math.floor(tail * (resamples - 1)), math.ceil((1 - tail) * (resamples - 1))
     ordered = lambda m: F.array_sort(F.collect_list(m))  # noqa: E731  one value per resample
@@ -219,10 +197,7 @@ def cluster_bootstrap(
         *[
             c
             for m in metrics
-            for c in (
-                F.element_at(ordered(m), low + 1).alias(f"{m}_low"),
-                F.element_at(ordered(m), high + 1).alias(f"{m}_high"),
-            )
+            for c in (F.get(ordered(m), F.lit(low)).alias(f"{m}_low"), F.get(ordered(m), F.lit(high)).alias(f"{m}_high"))
         ]
     )
 
@@ -387,7 +362,7 @@ def groundedness_layer1(
         "clause_span_start",
         "clause_span_end",
     )
-    rows = rows.join(o, "obligation_id", "left").join(c, "policy_clause_id", "left")
+    rows = left_join_spread(rows.join(o, "obligation_id", "left"), c, "policy_clause_id")
     spans = rows.where("circular_span_start IS NOT NULL").select(
         F.col("id").alias("span_id"),
         "circular_id",
@@ -507,9 +482,11 @@ def run_stats(steps: DataFrame) -> DataFrame:
 def dataset_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Content hash of a table that does not depend on row order; nothing is collected."""
     digest = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]), 256)
-    part = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")
-    summed = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).alias("total"))
-    text = F.concat_ws(":", F.col("rows").cast("string"), F.col("total").cast("decimal(38,0)").cast("string"))
+    # The whole hash, in four parts of 16 digits, each summed by itself.
+    parts = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    summed = rows.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(p), F.lit(0)).alias(f"__t{i}") for i, p in enumerate(parts)])
+    totals = [F.col(f"__t{i}").cast("decimal(38,0)").cast("string") for i in range(4)]
+    text = F.concat_ws(":", F.col("rows").cast("string"), *totals)
     return summed.select("rows", F.sha2(text, 256).alias("fingerprint"))
 
 

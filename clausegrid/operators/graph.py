@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
+from clausegrid.functions.scan import left_join_spread
 
 
 def number_lookup(circulars: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def resolve_citations(references: DataFrame, phrases: DataFrame, circulars: Data
         F.col("circular_id").alias("citing_circular_id"),
         F.col("paragraph_id").alias("citing_paragraph_id"),
         "raw_reference",
-        F.substring("normalised_reference", 1, K.REFERENCE_MAX_CHARS).alias("normalised_reference"),
+        "normalised_reference",
         target.alias("cited_circular_id"),
         target.isNotNull().alias("resolved"),
         method.alias("resolution_method"),
@@ -139,7 +140,7 @@ def outbound_edges(citations: DataFrame, circulars: DataFrame) -> DataFrame:
         F.col("circular_number").alias("cited_number"),
         F.col("title").alias("cited_title"),
     )
-    return citations.join(cited, "cited_circular_id", "left")
+    return left_join_spread(citations, cited, "cited_circular_id")
 
 
 def inbound_edges(citations: DataFrame, circulars: DataFrame) -> DataFrame:

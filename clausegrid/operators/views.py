@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
 from clausegrid.functions.ranking import first_per_key
-from clausegrid.functions.scan import running_count
+from clausegrid.functions.scan import left_join_spread, running_count
 
 PLACE_WIDTH = 1024  # characters per range when spans meet paragraphs
 
@@ -26,7 +26,7 @@ def findings_with_context(findings: DataFrame, obligations: DataFrame, clauses:
     c = clauses.select(
         F.col("id").alias("policy_clause_id"), "clause_number", F.col("order_index").alias("clause_order")
     )
-    return findings.join(o, "obligation_id").join(c, "policy_clause_id", "left")
+    return left_join_spread(findings.join(o, "obligation_id"), c, "policy_clause_id")
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:

@@ -48,16 +48,18 @@ SPREAD_BY = {
 }
 
 
+#: Setting that names into how many parts small inputs are dealt; unset, tables stay as they are read.
+INPUT_PARTS = "spark.clausegrid.inputParts"
+
+
 def spread(df: DataFrame, columns: list[str] | None) -> DataFrame:
-    """Use every core when a table comes in fewer pieces than there are cores.
+    """Deal a table into the parts the session asks for.
 
-    A file with one row group is one task, whatever the work on its rows. Tables of a cluster's
-    size have more pieces than cores and are left as they are.
+    A file with one row group is one task, whatever the work on its rows. On one machine with small
+    files a session may ask for a part per core; tables of a cluster's size need no dealing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if columns is None or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *columns)
+    parts = df.sparkSession.conf.get(INPUT_PARTS, None)
+    return df if columns is None or parts is None else df.repartition(int(parts), *columns)
 
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}

@@ -147,17 +147,16 @@ def _(c: Corpora):
 
 def _bootstrap_sql(rows: str, keys: str, metrics: list[str]) -> str:
     sums = ", ".join(f"sum({m}) AS s_{m}" for m in metrics)
-    means = ", ".join(f"sum(s_{m}) / sum(n) AS {m}" for m in metrics)
-    bounds = ", ".join(f"round(list_sort(list({m}))[50], 6) AS {m}_low, round(list_sort(list({m}))[1951], 6) AS {m}_high" for m in metrics)
-    return f"""SELECT {keys}, {bounds} FROM (
-  SELECT {keys}, resample, {means} FROM (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY md5(cluster), cluster) - 1 AS i,
-      count(*) OVER (PARTITION BY {keys}) AS k, n, {", ".join("s_" + m for m in metrics)}
-    FROM (SELECT {keys}, cluster, count(*) AS n, {sums} FROM ({rows}) GROUP BY ALL)) s
-  JOIN (SELECT k, resample, (y * y % p) * (y * y % p) % p * y % p % k AS i
-    FROM (SELECT k, resample, p, ((x * x % p) * (x * x % p) % p * x % p + 20261015) % p AS y
-    FROM (SELECT k, resample, CAST(2147483647 AS BIGINT) AS p, (resample * k + j + 20261015) % 2147483647 AS x
-    FROM (SELECT DISTINCT count(*) AS k FROM (SELECT DISTINCT {keys}, cluster FROM ({rows})) GROUP BY {keys}), unnest(range(k)) AS t(j), range(2000) AS r(resample)))) d
-  USING (k, i) GROUP BY {keys}, resample) GROUP BY {keys}"""
+    means = ", ".join(f"CASE WHEN sum(w * n) > 0 THEN sum(w * s_{m}) / sum(w * n) END AS {m}" for m in metrics)
+    one = lambda m, i: f"round(list_sort(list({m}) FILTER ({m} IS NOT NULL))[{i}], 6)"
+    bounds = ", ".join(f"{one(m, 50)} AS {m}_low, {one(m, 1951)} AS {m}_high" for m in metrics)
+    weight = " + ".join(f"CAST(u >= {step} AS BIGINT)" for step in E.POISSON_STEPS)
+    return f"""SELECT {keys}, {bounds} FROM (SELECT {keys}, resample, {means} FROM (SELECT *, {weight} AS w
+    FROM (SELECT *, (y * y % 2147483647) * (y * y % 2147483647) % 2147483647 * y % 2147483647 AS u
+    FROM (SELECT *, ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647 * x % 2147483647 + 20261015) % 2147483647 AS y
+    FROM (SELECT *, (('0x' || substr(md5(cluster), 1, 7))::BIGINT + resample * 268435459 + 20261015) % 2147483647 AS x
+    FROM (SELECT {keys}, cluster, count(*) AS n, {sums} FROM ({rows}) GROUP BY ALL), range(2000) AS r(resample)))))
+  GROUP BY {keys}, resample HAVING count(*) >= 5) GROUP BY {keys}"""
 
 
 @query(
@@ -332,7 +331,8 @@ def _(c: Corpora):
     return rounded(rounded(rounded(found, "mean_tokens"), "p50_latency_ms", "p95_latency_ms", digits=4), "mean_cost_usd", digits=9)
 
 
-_PRINT = """(SELECT sha256(count(*) || ':' || CAST(sum(('0x' || substr(sha256({parts}), 1, 12))::BIGINT) AS HUGEINT)) AS fingerprint FROM {table})"""
+_PART = "CAST(sum(('0x' || substr(sha256({{parts}}), {i}, 16))::UBIGINT::HUGEINT) AS HUGEINT)"
+_PRINT = "(SELECT sha256(count(*) || ':' || " + " || ':' || ".join(_PART.format(i=1 + 16 * i) for i in range(4)) + ") AS fingerprint FROM {table})"
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from clausegrid.plans.corpora import Corpora
 from clausegrid.registry.core import query
+from clausegrid.session import shared_folder
 from clausegrid.sources import ingest as I
 from clausegrid.sources import jsonl as J
 from clausegrid.sources import listings as H
@@ -61,7 +63,11 @@ def _files(c: Corpora):
 
 @query("document_scan", "SELECT 'doc_' || doc_id || '.pdf' AS filename, strlen(text) AS bytes, sha256(text) AS checksum FROM documents")
 def _(c: Corpora):
-    return _files(c)
+    """Every document written to a file of its own, and the files scanned."""
+    folder = f"{shared_folder(c.spark, 'files')}/files"
+    named = c.documents.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    M.write_files(named, folder)
+    return M.document_scan(c.spark, folder)
 
 
 @query(
@@ -97,9 +103,9 @@ def _(c: Corpora):
     return M.verification_totals(_verified(c))
 
 
-def _incoming(c: Corpora):
+def incoming(documents: DataFrame) -> DataFrame:
     """Documents as a batch: equal texts share a checksum, numbers repeat within a source."""
-    return c.documents.select(
+    return documents.select(
         F.col("doc_id").alias("batch_order"),
         F.sha2("text", 256).alias("checksum"),
         F.concat_ws("/", "source", "lang", F.col("n_chars").cast("string")).alias("circular_number"),
@@ -132,7 +138,7 @@ FROM groups g LEFT JOIN walk w ON w.doc_id = g.doc_id"""
 
 @query("classify_ingest", _CLASSIFIED.format(more=""))
 def _(c: Corpora):
-    return I.classify_ingest(_incoming(c), _stored(c)).select("batch_order", "outcome")
+    return I.classify_ingest(incoming(c.documents), _stored(c)).select("batch_order", "outcome")
 
 
 @query(
@@ -143,7 +149,7 @@ def _(c: Corpora):
     "FROM (SELECT g.doc_id AS batch_order").format(more=", pages, vision_pages") + ")",
 )
 def _(c: Corpora):
-    return I.ingest_report(I.classify_ingest(_incoming(c), _stored(c))).withColumn("vision_fraction", F.round("vision_fraction", 6))
+    return I.ingest_report(I.classify_ingest(incoming(c.documents), _stored(c))).withColumn("vision_fraction", F.round("vision_fraction", 6))
 
 
 @query(
@@ -156,6 +162,20 @@ def _(c: Corpora):
     return bad.select("doc_id", "reason")
 
 
+@query(
+    "ingest_sink",
+    """SELECT 'good' AS part, doc_id, CAST(NULL AS VARCHAR) AS reason FROM documents WHERE n_chars >= 60 AND lang <> 'es' UNION ALL
+SELECT 'bad', doc_id, CASE WHEN n_chars < 60 THEN 'too short' ELSE 'language not served' END FROM documents WHERE n_chars < 60 OR lang = 'es'""",
+)
+def _(c: Corpora):
+    """Good and bad rows written to two places and read back."""
+    folder = shared_folder(c.spark, "sink")
+    rows = c.documents.select("doc_id", "lang", "n_chars")
+    M.split_sink(rows, {"too short": F.col("n_chars") >= 60, "language not served": F.col("lang") != "es"}, f"{folder}/good", f"{folder}/bad")
+    good = c.spark.read.parquet(f"{folder}/good").select(F.lit("good").alias("part"), "doc_id", F.lit(None).cast("string").alias("reason"))
+    return good.union(c.spark.read.parquet(f"{folder}/bad").select(F.lit("bad"), "doc_id", "reason"))
+
+
 def _listings(c: Corpora):
     """Listing pages of two rows, one per pair of order and its predecessor by key."""
     key = F.col("id").cast("string")
@@ -247,3 +267,30 @@ FROM conversations WHERE role = 'system' OR turn = 1""",
 )
 def _(c: Corpora):
     return J.jsonl_with_errors(_lines(c), _LINE)[1]
+
+
+@query(
+    "replace_by_key",
+    """SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'second' ELSE 'first' END AS version FROM conversations""",
+)
+def _(c: Corpora):
+    """All turns stored by role, then those of one role again: its partition is replaced, twice alike."""
+    path = f"{shared_folder(c.spark, 'replaced')}/turns"
+    turns = c.conversations.select("conv_id", "turn", "role")
+    J.replace_by_key(turns.withColumn("version", F.lit("first")), path, "role")
+    for _ in range(2):
+        J.replace_by_key(turns.where("role = 'user'").withColumn("version", F.lit("second")), path, "role")
+    return c.spark.read.parquet(path).select("conv_id", "turn", "role", "version")
+
+
+@query(
+    "append_log",
+    """SELECT conv_id, turn, 'even' AS written FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'all' FROM conversations""",
+)
+def _(c: Corpora):
+    """Two appends to one log, read back."""
+    path = f"{shared_folder(c.spark, 'log')}/log"
+    turns = c.conversations.select("conv_id", "turn")
+    J.append_log(turns.where("turn % 2 = 0").withColumn("written", F.lit("even")), path)
+    J.append_log(turns.withColumn("written", F.lit("all")), path)
+    return c.spark.read.parquet(path)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from clausegrid.plans.corpora import Corpora, pick
 from clausegrid.registry.assessment_queries import _BUDGET, _CALLS, _TOKENS
 from clausegrid.registry.core import query
+from clausegrid.registry.sources_queries import _CLASSIFIED, incoming
 from clausegrid.session import shared_folder
 from clausegrid.streaming import trace as S
+from clausegrid.streaming.ingest import stream_ingest
 
 
 def _log(events: DataFrame) -> DataFrame:
@@ -41,14 +43,14 @@ def _stream(c: Corpora) -> DataFrame:
     return _log(source.parquet(c.folder))
 
 
-def _finished(c: Corpora, stream: DataFrame, name: str) -> DataFrame:
+def _finished(c: Corpora, stream: DataFrame, name: str, **trigger) -> DataFrame:
     """Run the stream over everything there is and read back what it wrote."""
     folder = shared_folder(c.spark, name)
     running = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     running.awaitTermination()
@@ -102,9 +104,32 @@ FROM (SELECT user_id AS run_id, epoch_us(min(ts)) AS s, coalesce(epoch_us(min(ts
   arg_min(CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END, ts) FILTER (event_type IN ('error', 'purchase')) AS status FROM events GROUP BY 1)""",
 )
 def _(c: Corpora):
+    return S.trace_terminal(_statuses(c.events), 86400)
+
+
+def _statuses(events: DataFrame) -> DataFrame:
     status = pick(F.col("event_type"), [("error", "FAILED"), ("purchase", "COMPLETED")], "RUNNING")
-    log = c.events.select(F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
-    return S.trace_terminal(log, 86400)
+    return events.select(F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query(
+    "trace_terminal_stream",
+    """SELECT user_id AS run_id, 'done' AS event, arg_min(CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'COMPLETED' END, ts) AS status
+FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1""",
+)
+def _(c: Corpora):
+    source = c.spark.readStream.schema(c.events.schema).option("pathGlobFilter", "events.parquet").parquet(c.folder)
+    # One batch: with processing-time timers pending, other triggers go on with empty batches for ever.
+    return _finished(c, S.trace_terminal_stream(_statuses(source), 86400), "terminal", once=True)
+
+
+@query("stream_ingest", _CLASSIFIED.format(more="").replace("source = 'src3'", "false"))
+def _(c: Corpora):
+    """The documents as a stream against an empty store."""
+    folder = shared_folder(c.spark, "ingest")
+    source = c.spark.readStream.schema(c.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(c.folder)
+    stream_ingest(incoming(source), f"{folder}/stored", f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
+    return c.spark.read.parquet(f"{folder}/outcomes").select("batch_order", "outcome")
 
 
 @query("stream_budget", _BUDGET)

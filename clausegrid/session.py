@@ -27,23 +27,24 @@ def build_session(app: str = "clausegrid", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def _base_folder(spark: SparkSession) -> str:
+    """The folder all executors share. Only a session on one machine may do without a set one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is not None:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+
 
-    Only when no folder is set (tests on one machine) is a temporary one used.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_base_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written state, under ``spark.checkpoint.dir`` where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"spark-{purpose}-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder for written state in the shared folder."""
+    return f"{_base_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

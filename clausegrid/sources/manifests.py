@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -46,6 +51,27 @@ def document_scan(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFr
     )
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """(filename, content): every row becomes a file under ``path``, in the task that holds it.
+
+    Each file is written under a name of its attempt and moved into place, so that one that is written
+    again after a failure is whole and there once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("filename").to_pylist(), batch.column("content").to_pylist()):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(content or b"")
+                system.move(part, f"{root}/{name}")
+            yield batch.select(["filename"])
+
+    files.select("filename", "content").mapInArrow(run, "filename string").write.format("noop").mode("overwrite").save()
+
+
 def attach_metadata(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files with their manifest entry; a file without one is named after its stem."""
     stem = F.translate(F.regexp_replace("filename", r"\.[^.]*$", ""), "_", "/")
@@ -76,3 +102,10 @@ def quarantine(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, D
     reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for why, ok in checks.items()])
     marked = rows.withColumn("reason", reason)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def split_sink(rows: DataFrame, checks: dict[str, Column], good_path: str, bad_path: str) -> None:
+    """Writes the rows that pass all checks to one place and the others, with the reason, to another."""
+    good, bad = quarantine(rows, checks)
+    good.write.mode("overwrite").parquet(good_path)
+    bad.write.mode("overwrite").parquet(bad_path)

@@ -19,12 +19,7 @@ def ingest_batch(stored_path: str, outcome_path: str):
         spark = batch.sparkSession
         schema = "checksum string, circular_number string, batch bigint"
         reader = spark.read.schema(schema).option("ignoreMissingFiles", "true")
-        try:
-            stored = reader.parquet(stored_path).where(F.col("batch") < batch_id)
-        except Exception as exc:  # noqa: BLE001 - nothing has been stored yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            stored = spark.createDataFrame([], schema)
+        stored = reader.parquet(stored_path).where(F.col("batch") < batch_id)
         decided = classify_ingest(batch, stored)
         decided.write.mode("overwrite").parquet(f"{outcome_path}/batch={batch_id}")
         done = spark.read.parquet(f"{outcome_path}/batch={batch_id}").where(F.col("outcome") == "ingested")
@@ -35,6 +30,9 @@ def ingest_batch(stored_path: str, outcome_path: str):
 
 def stream_ingest(documents: DataFrame, stored_path: str, outcome_path: str, checkpoint: str):
     """Start the stream: documents carry batch_order, checksum, circular_number and has_text."""
+    # The store begins empty, as the folder of a batch before the first.
+    empty = documents.sparkSession.createDataFrame([], "checksum string, circular_number string")
+    empty.write.mode("overwrite").parquet(f"{stored_path}/batch=-1")
     return (
         documents.writeStream.foreachBatch(ingest_batch(stored_path, outcome_path))
         .option("checkpointLocation", checkpoint)

@@ -116,28 +116,43 @@ def trace_terminal(log: DataFrame, timeout_seconds: int = K.TRACE_TIMEOUT_SECOND
 
 
 def trace_terminal_stream(log: DataFrame, timeout_seconds: int = K.TRACE_TIMEOUT_SECONDS) -> DataFrame:
-    """The same on a stream with a processing-time timer per run; a run is reported once."""
+    """The same on a stream with a processing-time timer per run; a run is reported once.
+
+    The timer runs from a run's first row, whatever rows follow: Spark forgets it on every call, so what
+    is left of it is set again. A reported run is remembered for one more limit and then forgotten.
+    """
+    limit = timeout_seconds * 1000
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        over = state.get[0] if state.exists else False
-        found = None
+        now = state.getCurrentProcessingTimeMs()
+        started, over = state.get if state.exists else (now, False)
         if state.hasTimedOut:
-            if not over:
-                found = ("timeout", None)
+            if over:
+                state.remove()
+                return
+            found = ("timeout", None)
         else:
-            for batch in batches:
-                hits = batch[batch["status"].isin(K.TERMINAL_STATUSES)].sort_values("at")
-                if found is None and not over and len(hits):
-                    found = ("done", hits["status"].iloc[0])
-            if not state.exists:
-                state.setTimeoutDuration(timeout_seconds * 1000)
-        state.update((bool(over or found is not None),))
+            ends = [batch.loc[batch["status"].isin(K.TERMINAL_STATUSES), ["at", "status"]] for batch in batches]
+            hits = pd.concat(ends).sort_values("at", kind="stable")
+            found = None
+            if not over and len(hits):
+                found = ("done", hits["status"].iloc[0])
+            elif not over and now - started >= limit:
+                found = ("timeout", None)
+        if found is not None:
+            started, over = now, True
+        state.update((int(started), over))
+        state.setTimeoutDuration(max(1, int(started + limit - now)))
         if found is not None:
             yield pd.DataFrame({"run_id": [key[0]], "event": [found[0]], "status": [found[1]]})
 
     run_type = log.schema["run_id"].dataType.simpleString()
     return log.groupBy("run_id").applyInPandasWithState(
-        watch, f"run_id {run_type}, event string, status string", "over boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        watch,
+        f"run_id {run_type}, event string, status string",
+        "started long, over boolean",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

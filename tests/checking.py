@@ -64,7 +64,7 @@ def main(names: list[str], folder: str) -> int:
 
     spark = build_session(
         master="local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.clausegrid.inputParts": "8", "spark.driver.memory": "12g",
            "spark.log.level": "ERROR"},
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -16,7 +16,7 @@ def spark():
         "local[8]",
         **{
             "spark.ui.enabled": "false",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "8", "spark.clausegrid.inputParts": "8",
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
         },
