@@ -566,20 +566,21 @@ _TRIMMED = """CASE WHEN length({x}) <= 240 THEN {x} WHEN contains(left({x}, 240)
 
 @query(
     "best_sentence",
-    f"""SELECT doc_id, score, start, {_TRIMMED.format(x='sentence')} AS sentence
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS k
-  FROM (SELECT s.doc_id, start, sentence, len(list_intersect({terms_sql('sentence')}, q.terms)) AS score
-    FROM ({_TILES}) s JOIN (SELECT conv_id, {terms_sql('text')} AS terms FROM conversations WHERE turn = 0) q
+    f"""SELECT doc_id, turn, score, start, {_TRIMMED.format(x='sentence')} AS sentence
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, turn ORDER BY score DESC, start) AS k
+  FROM (SELECT s.doc_id, turn, start, sentence, len(list_intersect({terms_sql('sentence')}, q.terms)) AS score
+    FROM ({_TILES}) s JOIN (SELECT conv_id, turn, {terms_sql('text')} AS terms FROM conversations) q
       ON q.conv_id = s.doc_id WHERE length(sentence) >= 12) WHERE score > 0) WHERE k = 1""",
 )
 def _(c: Corpora):
-    asked = c.conversations.where("turn = 0").select(
-        F.col("conv_id").alias("doc_id"), T.content_terms(F.col("text")).alias("terms")
+    asked = c.conversations.select(
+        F.col("conv_id").alias("doc_id"), "turn", T.content_terms(F.col("text")).alias("terms")
     )
     best = T.best_sentence(T.clause_sentences(F.col("text")), F.col("terms"))
-    rows = c.documents.join(asked, "doc_id").select("doc_id", best.alias("b")).where("b IS NOT NULL")
+    rows = c.documents.join(asked, "doc_id").select("doc_id", "turn", best.alias("b")).where("b IS NOT NULL")
     return rows.select(
         "doc_id",
+        "turn",
         F.col("b.score").cast("long").alias("score"),
         F.col("b.start").cast("long").alias("start"),
         F.col("b.piece").alias("sentence"),
