@@ -33,9 +33,10 @@ def corpus(seed, n=150, near=60):
     return out + [None, "", "  \n "]
 
 
-@pytest.mark.parametrize("seed,common", [(1, 256), (2, 20), (3, 4), (4, 2)])
-def test_agrees_with_brute_force(spark, monkeypatch, seed, common):
+@pytest.mark.parametrize("seed,common,sent", [(1, 256, 200_000), (2, 20, 0), (3, 4, 200_000), (4, 2, 0)])
+def test_agrees_with_brute_force(spark, monkeypatch, seed, common, sent):
     monkeypatch.setattr(nj, "COMMON", common)
+    monkeypatch.setattr(nj, "BROADCAST_COMMON", sent)
     monkeypatch.setattr(nj, "BLOCK", 16)
     rows = [(i * 7 % 1000, t) for i, t in enumerate(corpus(seed))]
     rows += [(None, rows[3][1]), (None, rows[160][1]), (rows[5][0], rows[5][1]), (rows[5][0], rows[200][1])]
