@@ -149,7 +149,6 @@ RRF_K = 60
 RETRIEVE_TOP_N = 50
 RERANK_TOP_K = 8
 RANKING_CUTOFF = 10
-RANKING_FETCH = 15
 
 # --- listing pages ----------------------------------------------------------------------
 INCLUDE_KEYWORDS = (

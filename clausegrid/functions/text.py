@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -295,7 +293,3 @@ def wilson_interval(successes: Column, n: Column, z: float = K.WILSON_Z) -> Colu
             F.least(F.lit(1.0), centre + half).alias("high"),
         ),
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

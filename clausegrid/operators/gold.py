@@ -69,7 +69,3 @@ def refusal_queries(cases: DataFrame) -> DataFrame:
         F.lit(-1).cast("long").alias("citing_paragraph"),
         F.lit("").alias("reference"),
     )
-
-
-def with_refusals(gold: DataFrame, cases: DataFrame) -> DataFrame:
-    return gold.unionByName(refusal_queries(cases))

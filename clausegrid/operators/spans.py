@@ -123,8 +123,15 @@ def check_constraints(
     paragraphs: DataFrame,
     obligations: DataFrame,
     clauses: DataFrame,
+    citations: DataFrame | None = None,
+    supersessions: DataFrame | None = None,
+    assessments: DataFrame | None = None,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per violated rule and offending key; an empty result means the tables are sound."""
+    """One row per violated rule and offending key; an empty result means the tables are sound.
+
+    Tables that are not given are not checked.
+    """
 
     def bad(rule: str, rows: DataFrame, key: Column) -> DataFrame:
         return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
@@ -164,6 +171,17 @@ def check_constraints(
             F.col("id"),
         ),
     ]
+    for what, df, column, allowed in (
+        ("resolution method", citations, "resolution_method", K.RESOLUTION_METHODS),
+        ("supersession type", supersessions, "supersession_type", K.SUPERSESSION_TYPES),
+        ("assessment status", assessments, "status", K.ASSESSMENT_STATUSES),
+        ("step status", steps, "status", K.STEP_STATUSES),
+    ):
+        if df is not None:
+            known = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+            checks.append(bad(f"{what} is unknown", df.where(~known), F.col("id")))
+    if steps is not None:
+        checks.append(repeated("step sequence is not unique in its run", steps, ["run_id", "seq"]))
     out = checks[0]
     for check in checks[1:]:
         out = out.unionByName(check)

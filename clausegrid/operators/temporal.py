@@ -47,17 +47,6 @@ def in_force_as_of(circulars: DataFrame, supersessions: DataFrame, dates: list[d
     )
 
 
-def in_force_on(chunks: DataFrame, supersessions: DataFrame, as_of: Column, key: str = "circular_id") -> DataFrame:
-    """Rows whose circular was in force on their own ``as_of``; needs issue_date on the rows."""
-    gone = removals(supersessions).select(F.col("id").alias(key), "out_since")
-    return (
-        chunks.where(F.col("issue_date") <= as_of)
-        .join(gone, key, "left")
-        .where(F.col("out_since").isNull() | (F.col("out_since") > as_of))
-        .drop("out_since")
-    )
-
-
 def force_state(circulars: DataFrame, supersessions: DataFrame, dates: list[date]) -> DataFrame:
     """State of every circular on every date, with counts of amending and undated removing edges.
 

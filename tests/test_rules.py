@@ -178,3 +178,28 @@ def test_the_call_that_crosses_the_token_limit_still_counts(spark):
     total = A.budget_totals(decided, 100, 100).first()
     assert (total.calls, total.tokens) == (3, 120)
     assert total.exhausted_reason == "Token budget reached: 120 of 100 tokens."
+
+
+def test_constraints_of_states_and_sequences(spark):
+    from clausegrid.operators.spans import check_constraints
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    span = "id long, char_start long, char_end long"
+    found = check_constraints(
+        none("circular_number string"),
+        none(f"{span}, text string, extraction_method string"),
+        none(f"{span}, circular_id long, paragraph_id long, text string"),
+        none(f"{span}, policy_pack_id long, clause_number string"),
+        citations=spark.createDataFrame([(1, "regex"), (2, "guess"), (3, None)], "id long, resolution_method string"),
+        supersessions=spark.createDataFrame([(1, "amends"), (2, "ends")], "id long, supersession_type string"),
+        assessments=spark.createDataFrame([(1, "PENDING"), (2, "LOST")], "id long, status string"),
+        steps=spark.createDataFrame([(1, 7, 1, "OK"), (2, 7, 1, "OK"), (3, 8, 1, "ODD")], "id long, run_id long, seq long, status string"),
+    )
+    assert sorted(map(tuple, found.collect())) == [
+        ("assessment status is unknown", "2"),
+        ("resolution method is unknown", "2"),
+        ("resolution method is unknown", "3"),
+        ("step sequence is not unique in its run", "7|1"),
+        ("step status is unknown", "3"),
+        ("supersession type is unknown", "2"),
+    ]
