@@ -276,14 +276,29 @@ def _indexed_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs of different components in the same bucket whose points allow them to be similar.
 
     ``mixed``: hash, held, row, n, point, root. A bucket of more than ``BLOCK`` points is dealt into blocks
-    by a hash of the row, and every two blocks meet in a task of their own.
+    by a hash of the row, and every two blocks meet in a task of their own. Rows of large buckets carry the
+    other large buckets they are in, so that a pair is looked at in the first that both are in.
     """
+    large = mixed.where(F.col("held") > COMMON)
+    lists = large.groupBy("row").agg(F.sort_array(F.collect_list("hash")).alias("also")).withColumn("large", F.lit(True))
+    mixed = mixed.withColumn("large", F.col("held") > COMMON).join(lists, ["row", "large"], "left")
+    mixed = mixed.withColumn("also", F.coalesce("also", F.array().cast("array<long>")))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    dealt = mixed.select("hash", "row", "n", "point", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "point", "root")
+    dealt = mixed.select("hash", "row", "n", "point", "root", "also", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "point", "root", "also")
     dealt = dealt.repartition("hash", "i", "j").sortWithinPartitions("hash", "i", "j", "row")
 
+    def met_before(also: list[np.ndarray], word: int, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+        """For every one of left and of right, whether both are in a large bucket before this one."""
+        earlier = [x[x < word] for x in also]
+        known, at = np.unique(np.concatenate(earlier), return_inverse=True)
+        if not len(known):
+            return None
+        has = np.zeros((len(also), len(known)), np.float32)
+        has[np.repeat(np.arange(len(also)), [len(x) for x in earlier]), at] = 1
+        return has[left] @ has[right].T > 0
+
     def of_bucket(rows: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         row, n, root, own = (rows.column(c).to_numpy() for c in ("row", "n", "root", "own"))
         points = rows.column("point").to_pylist()
@@ -294,6 +309,9 @@ def _indexed_pairs(mixed: DataFrame) -> DataFrame:
         q, p = CountTree(counts[left], n[left]).partners(counts[right], n[right])
         a, b = left[p], right[q]
         good = (root[a] != root[b]) & ((row[a] < row[b]) | (i != j))
+        before = met_before([np.array(x.as_py(), np.int64) for x in rows.column("also")], rows.column("hash")[0].as_py(), left, right)
+        if before is not None:
+            good &= ~before[p, q]
         a, b = a[good], b[good]
         most = np.fromiter((shared_at_most(points[x], points[y]) for x, y in zip(a.tolist(), b.tolist())), np.int64, len(a))
         good = most >= needed(n[a] + n[b])
@@ -353,9 +371,10 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = stored(_prefixes(docs, points, members), "buckets")
     sizes = buckets.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
     buckets = stored(_distinct_buckets(buckets.join(sizes, "hash")), "met")
-    wanted = stored(buckets.select("row").distinct(), "wanted")
+    wanted = stored(buckets.groupBy("row").agg(F.count("*").alias("degree")), "wanted")
     reps = members.where("row = rep").select("row", "doc_id", "set")
-    light = stored(points.select("row", "n", "point").join(wanted, "row"), "points")
+    light = stored(points.select("row", "n", "point").join(wanted.select("row"), "row"), "points")
+    buckets = stored(buckets.join(wanted, "row"), "degrees")
     labelled, tested, links = buckets.withColumn("root", F.col("row")), None, None
     # First every set of a bucket against one and the same of them, then of what is still apart against
     # another one, and so on: that settles tight groups without their pairs.
@@ -391,8 +410,12 @@ def _distinct_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def _star(labelled: DataFrame, k: int) -> DataFrame:
-    """In each bucket, one row (the first by a hash that depends on k) against those of other components."""
-    order = F.struct(F.xxhash64("row", F.lit(k)).alias("o"), "row", "root")
+    """In each bucket, one row against those of other components.
+
+    At first the row that is in most buckets: the text that others are copies of has no shingles of its
+    own. Later the first by a hash that depends on k.
+    """
+    order = F.struct((-F.col("degree") * int(k == 0)).alias("d"), F.xxhash64("row", F.lit(k)).alias("o"), "row", "root")
     first = labelled.groupBy("hash").agg(F.min(order).alias("first")).select("hash", "first.row", "first.root")
     first = first.toDF("hash", "pivot", "pivot_root")
     pairs = labelled.join(first, "hash").where("root <> pivot_root")
