@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausegrid.llm.common import let
+
 # Wording of public licences, after normalisation. The first pattern that fits names the
-# sentence. Every pattern needs one of CLUES in the text.
-CLUES = "licen[cs]|copyright|permission is hereby|redistribut|warrant|all rights reserved|public domain|as is|creative commons|cc by|cc0|any later version|gpl|endorse"
+# sentence. Every pattern needs one of CLUES in the sentence.
+CLUES = "licen[cs]|copyright|permission is hereby|redistribut|warrant|all rights reserved|public domain|as is|creative commons|cc by|cc0|any later version|gpl|endorse|in the hope that|apache-2|bsd"
 SENTENCES = [
     ("MIT_GRANT", "^permission is hereby granted free of charge to any person obtaining a copy"),
     ("MIT_NOTICE", "^the above copyright notice and this permission notice shall be included"),
@@ -83,16 +85,17 @@ def _normal(sentence: Column) -> Column:
 
 
 def _identifier(sentence: Column) -> Column:
+    """The first fitting identifier of a normalised sentence; most have no clue and are left at once."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    return F.when(sentence.rlike(CLUES), out)
 
 
 def sentences_of(text: Column) -> Column:
     """The known licence sentences of a text in order: place, identifier and wording of each."""
     whole = F.split(F.coalesce(text, F.lit("")), BREAK)
-    known = F.transform(whole, lambda s, i: F.struct(i.cast("long").alias("sentence"), _identifier(_normal(s)).alias("identifier"), s.alias("wording")))
+    known = F.transform(whole, lambda s, i: F.struct(i.cast("long").alias("sentence"), let(_normal(s), _identifier).alias("identifier"), s.alias("wording")))
     kind = "array<struct<sentence:bigint,identifier:string,wording:string>>"
     found = F.filter(known, lambda x: x["identifier"].isNotNull()).cast(kind)
     clue = F.translate(text, UPPER, LOWER).rlike(CLUES)
