@@ -76,6 +76,18 @@ RULES = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = "[.!?;]+[ \\t\\r]+|[.!?;]*\\n"
+# A newline inside a hard-wrapped sentence, with the comment sign of the next line. The line
+# before is long and has no end of a sentence; the next one is no list item, and if it starts like a
+# sentence of its own, the line before is longer.
+_NO_ITEM = "(?![0-9a-z]{1,3}[.)][ \\t]|\\([0-9a-z]\\)[ \\t]|[-\u2022][ \\t])"
+_NO_START = "(?!Copyright |Licensed |SPDX|All rights|ALL RIGHTS|Permission is|Redistribution|The above copyright|Neither |NEITHER |THE SOFTWARE IS|THIS SOFTWARE IS|This |Released )"
+_NEXT = "[ \\t\\r]*\\n[ \\t]*(?:(?:#+|//+|\\*+|;+|--+|%+|>+)[ \\t]+)?"
+WRAP = (
+    f"(?<=[^\\n]{{25}})(?<![.!?;: \\t\\r]){_NEXT}{_NO_ITEM}(?=[a-z0-9(\"'`])"
+    f"|(?<=[^\\n]{{40}})(?<![.!?;: \\t\\r]){_NEXT}{_NO_ITEM}{_NO_START}(?=[A-Z])"
+)
+# The GPL's semicolon before its version ends no sentence.
+VERSION = ";(?=\\s+(?:(?:#+|//+|\\*+)\\s+)?either\\s+(?:(?:#+|//+|\\*+)\\s+)?version)"
 
 
 def _normal(sentence: Column) -> Column:
@@ -93,8 +105,12 @@ def _identifier(sentence: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """The known licence sentences of a text in order: place, identifier and wording of each."""
-    whole = F.split(F.coalesce(text, F.lit("")), BREAK)
+    """The known licence sentences of a text in order: place, identifier and wording of each.
+
+    Sentences wrapped over several lines are joined first.
+    """
+    joined = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), VERSION, ","), WRAP, " ")
+    whole = F.split(joined, BREAK)
     known = F.transform(whole, lambda s, i: F.struct(i.cast("long").alias("sentence"), let(_normal(s), _identifier).alias("identifier"), s.alias("wording")))
     kind = "array<struct<sentence:bigint,identifier:string,wording:string>>"
     found = F.filter(known, lambda x: x["identifier"].isNotNull()).cast(kind)
