@@ -19,6 +19,8 @@ from clausegrid.llm.common import let, stored, words_of
 # Shapes and words by which findings are known.
 LONG_RUN = r"[A-Za-z0-9+/_\-]{16,}+={0,2}"
 SHORT_VALUE = r"[^\s\"'`,;()]{8,}+"
+#: A value behind an assignment sign in the same word; not what follows a URL's scheme.
+INNER_VALUE = r"[A-Za-z0-9_\])\"'`](?:=>|:=|=|:)[\"'`]?(?!//)([^\s\"'`,;()]{8,}+)"
 KEY_WORDS = "token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer|akia|ghp_|xox[bp]-"
 PLAIN_WORDS = "commit|revision|sha1|sha256|md5|digest|checksum|hash|uuid|guid|isbn|card|phone|call|tel|fax|order|invoice|serial|version|build"
 TEST_PATHS = "test|example|sample|fixture|mock|dummy|doc"
@@ -75,8 +77,9 @@ def candidates_of(text: Column, path: Column) -> Column:
     """All candidates of a text in order, as an array of structs.
 
     A candidate is a run of at least 16 letters, digits and ``+/_-`` holding a digit, or a value of at
-    least 8 characters holding a digit that stands after a word ending in an assignment sign. A null text has
-    none; a null path counts as empty.
+    least 8 characters that stands after an assignment sign, in the word or at the end of the word before,
+    holding a digit or led by a key word. Runs inside such a value are none of their own. A null text has none;
+    a null path counts as empty.
     """
     path = F.lower(F.coalesce(path.cast("string"), F.lit("")))
 
@@ -84,13 +87,22 @@ def candidates_of(text: Column, path: Column) -> Column:
         at_sign = lambda i: F.coalesce(F.get(words, i - 1), F.lit("")).rlike("[:=]>?\\W*$")
         long = lambda i: F.length(F.get(words, i)) >= 16
         short = lambda i: (F.length(F.get(words, i)) >= 8) & at_sign(i)
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: long(i) | short(i))
+        inner = lambda i: (F.length(F.get(words, i)) >= 10) & F.get(words, i).rlike(INNER_VALUE)
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: long(i) | short(i) | inner(i))
 
         def of_place(i: Column) -> Column:
             word = F.get(words, i)
             runs = F.regexp_extract_all(word, F.lit(LONG_RUN), F.lit(0))
-            values = F.when(at_sign(i), F.regexp_extract_all(word, F.lit(SHORT_VALUE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-            found = F.filter(F.when(F.size(runs) > 0, runs).otherwise(values), lambda x: x.rlike("[0-9]"))
+            inside = F.regexp_extract_all(word, F.lit(INNER_VALUE), F.lit(1))
+            after = F.when(at_sign(i) & (F.size(inside) == 0), F.regexp_extract_all(word, F.lit(SHORT_VALUE), F.lit(0))).otherwise(inside)
+            # A run with a sentence's end behind it is found without that.
+            bare = lambda v: F.regexp_replace(v, "[.!?:]+$", "")
+            values = F.transform(after, lambda v: F.when(F.exists(runs, lambda r: r == bare(v)), bare(v)).otherwise(v))
+            rest = F.filter(runs, lambda r: ~F.exists(values, lambda v: F.contains(v, r)))
+            before = lambda k: F.coalesce(F.get(words, i - k), F.lit(""))
+            lead = lambda x: F.lower(F.concat_ws(" ", before(2), before(1), F.left(word, F.position(x, word) - 1)))
+            led = F.filter(values, lambda x: x.rlike("[0-9]") | lead(x).rlike(KEY_WORDS))
+            found = F.concat(led, F.filter(rest, lambda x: x.rlike("[0-9]")))
             return F.transform(found, lambda x: _features(x, word, words, i, path))
 
         return F.when(F.size(words) > 0, F.flatten(F.transform(places, of_place)))

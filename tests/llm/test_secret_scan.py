@@ -84,3 +84,18 @@ def test_without_labels_every_candidate_counts(spark):
     assert [(r.secret, r.score, r.is_secret) for r in ss.scan(frame).collect()] == [("abc12345", 1.0, True)] * 2
     assert ss.scan(frame.limit(0)).count() == 0
     assert ss.redacted(frame.limit(0)).count() == 0
+
+
+def test_values_without_blanks_are_candidates(spark):
+    texts = {
+        1: ("x pwd=s3cr3tpw9 y", ["s3cr3tpw9"]), 2: ('password="Tr0ub4dor&3"', ["Tr0ub4dor&3"]), 3: ("api_key:Ab3dEf9h", ["Ab3dEf9h"]),
+        4: (":secret=>'pa$$w.rd&x!y1'", ["pa$$w.rd&x!y1"]), 5: ("password = correct-horse-battery", ["correct-horse-battery"]),
+        6: ('"auth_token":"QwErTyUiOp"', ["QwErTyUiOp"]), 7: ("color=darkgreen and note: something", []), 8: ("see https://example.com/about it", []),
+        9: ("token=" + "a1" * 20, ["a1" * 20]), 10: ("ends in token = " + "b2" * 20 + ".", ["b2" * 20]), 11: ("passwd=abcdefgh12345678$9", ["abcdefgh12345678$9"]),
+    }
+    rows = [(k, v[0], "src/a") for k, v in texts.items()]
+    found = {}
+    for r in ss.find_candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        found.setdefault(r.doc_id, []).append(r.secret)
+        assert r.assigned == 1 and r.key_word == 1
+    assert found == {k: v[1] for k, v in texts.items() if v[1]}
