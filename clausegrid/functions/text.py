@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +58,47 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(text) / K.CHARS_PER_TOKEN).cast("int"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 256, levels: int = 2) -> Column:
+    """The sums of a numeric array up to and including each place.
+
+    A plain fold copies its result at every value. Here it runs inside blocks only; the blocks' totals are
+    summed in the same way one level up and added, so the cost is a constant for each value.
+    """
+
+    def folded(part: Column) -> Column:
+        last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0))
+        return F.aggregate(part, F.slice(part, 1, 0), lambda sums, x: F.concat(sums, F.array(x + last(sums))))
+
+    def summed(part: Column, level: int) -> Column:
+        if level == 0:
+            return folded(part)
+        numbers = F.sequence(F.lit(0), F.floor((F.size(part) - 1) / block).cast("int"))
+
+        def carried(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda sums: F.element_at(sums, -1))
+
+            def shifted(through: Column) -> Column:
+                before = lambda i: F.coalesce(F.get(through, i - 1), F.lit(0))
+                return F.flatten(F.transform(blocks, lambda sums, i: F.transform(sums, lambda s: s + before(i))))
+
+            return _bound(summed(totals, level - 1), shifted)
+
+        blocks = F.transform(numbers, lambda i: folded(F.slice(part, i * block + 1, F.lit(block))))
+        return F.when(F.size(part) > block, _bound(blocks, carried)).otherwise(folded(part))
+
+    return _bound(values, lambda part: summed(part, levels))
+
+
 def split_with_offsets(text: Column, separator: str) -> Column:
     """Array of (start, piece): the pieces between matches of ``separator`` and where they begin."""
     pattern = U + separator
     pieces = F.split(text, pattern, -1)
     gaps = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
-    return _running_starts(F.arrays_zip(pieces.alias("piece"), gaps.alias("gap")), "piece", "gap")
+    return _starts(pieces, gaps, gap_first=False)
 
 
 def matches_with_offsets(text: Column, pattern: str) -> Column:
@@ -71,24 +108,24 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
     """
     full = U + pattern
     hits = F.regexp_extract_all(text, F.lit(full), F.lit(0))
-    between = F.slice(F.split(text, full, -1), F.lit(1), F.size(hits))
-    return _running_starts(F.arrays_zip(hits.alias("piece"), between.alias("gap")), "piece", "gap", True)
+    return _starts(hits, F.split(text, full, -1), gap_first=True)
+
+
+def _starts(pieces: Column, gaps: Column, gap_first: bool) -> Column:
+    """(start, piece) of pieces and gaps in turn; the gap before or after a piece has its number."""
 
+    def located(both: Column) -> Column:
+        lengths = F.transform(both["pieces"], lambda p, i: F.length(p) + F.length(F.get(both["gaps"], i)))
 
-def _running_starts(zipped: Column, piece: str, gap: str, gap_first: bool = False) -> Column:
-    empty = F.array().cast("array<struct<start:int,piece:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        def made(end: Column, i: Column) -> Column:
+            piece = F.get(both["pieces"], i)
+            start = end - F.length(piece)
+            start = start if gap_first else start - F.length(F.get(both["gaps"], i))
+            return F.struct(start.alias("start"), piece.alias("piece"))
 
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + F.length(item[gap]) if gap_first else acc["at"]
-        tail = F.lit(0) if gap_first else F.length(item[gap])
-        made = F.struct(start.alias("start"), item[piece].alias("piece"))
-        return F.struct(
-            (start + F.length(item[piece]) + tail).alias("at"),
-            F.concat(acc["out"], F.array(made)).alias("out"),
-        )
+        return F.transform(running_sums(lengths), made)
 
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    return _bound(F.struct(pieces.alias("pieces"), gaps.alias("gaps")), located)
 
 
 def normalise_reference(raw: Column) -> Column:
