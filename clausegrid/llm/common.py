@@ -77,3 +77,15 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, F.col("__start") + inside)
         .drop("__range", "__start")
     )
+
+
+#: A table ``crc`` with the list ``tab`` of the 256 steps of CRC-32, for the check SQL.
+CRC_TABLE_SQL = """crc AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) r(b)))"""
+
+
+def crc32_sql(ascii_text: str) -> str:
+    """CRC-32 of an ASCII string in SQL that reads ``crc``."""
+    codes = f"list_transform(string_split({ascii_text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    step = "lambda c, x: xor(tab[xor(c % 256, x) + 1], c // 256)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), 4294967295)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, quality, secret_scan, warc
+from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, pii, quality, repetition, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -55,6 +55,15 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data_digest(table(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = repetition.with_planted_runs(table(spark, folder, "documents"))
+    return repetition.run_digest(repetition.find_runs(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +77,14 @@ QUERIES = {
         op8_secret_forest,
         op9_licence_rules,
         op10_ngram_jaccard,
+        op11_personal_data,
+        op13_periodic_runs,
     )
 }
-ORACLE = {"op6_warc_salvage": warc.SQL, "op7_mix_sources": mixing.SQL, "op9_licence_rules": licences.check_sql()}
+ORACLE = {
+    "op6_warc_salvage": warc.SQL,
+    "op7_mix_sources": mixing.SQL,
+    "op9_licence_rules": licences.check_sql(),
+    "op11_personal_data": pii.check_sql(),
+    "op13_periodic_runs": repetition.check_sql(),
+}
