@@ -70,6 +70,14 @@ def _apart(s: Column) -> Column:
     return ~F.right(s["before"], F.lit(1)).rlike(r"[A-Za-z0-9+.-]") & ~s["after"].rlike(r"^(?:[A-Za-z0-9]|[.-][0-9])")
 
 
+#: What stands before a national number that is the rest of an international one.
+ABROAD = r"\+[0-9]{1,3}[ .(-]*$"
+
+
+def _national(s: Column) -> Column:
+    return _apart(s) & ~s["before"].rlike(ABROAD)
+
+
 def _account(s: Column) -> Column:
     return _apart(s) & let(F.translate(s["value"], " ", ""), lambda a: F.length(a).between(15, 34) & mod97(a))
 
@@ -119,7 +127,7 @@ KINDS = (
     Kind("phone", PHONE, PHONE, _phone, 70, "phone|tel|telephone|call|mobile|cell|fax|contact|whatsapp", True, "+"),
     Kind("iban", ACCOUNT, ACCOUNT, _account, 80, "iban|account|bank|transfer|konto|compte|cuenta"),
     Kind("ssn", SOCIAL, SOCIAL, _social, 40, "ssn|social|security|taxpayer"),
-    Kind("local_phone", LOCAL, LOCAL, _apart, 35, "phone|tel|telephone|call|mobile|cell|fax"),
+    Kind("local_phone", LOCAL, LOCAL, _national, 35, "phone|tel|telephone|call|mobile|cell|fax"),
     Kind("birth_date", DATE, DATE, _apart, 25, "born|birth|birthday|birthdate|dob|geboren|nacido|nacida"),
     Kind("passport", PASSPORT, PASSPORT, _apart, 25, "passport|reisepass|passeport|pasaporte"),
 )
@@ -235,7 +243,7 @@ def check_sql() -> str:
         " lambda r, v: CASE WHEN v < 10 THEN (r * 10 + v) % 97 ELSE (r * 100 + v) % 97 END) = 1",
         "ssn": f"{apart} AND substr(value, 1, 3) NOT IN ('000', '666') AND substr(value, 1, 3) < '900'"
         " AND substr(value, 5, 2) <> '00' AND substr(value, 8, 4) <> '0000'",
-        "local_phone": apart,
+        "local_phone": f"{apart} AND NOT regexp_matches(before, '{ABROAD}')",
         "birth_date": apart,
         "passport": apart,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, pii, quality, repetition, secret_scan, warc
+from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, pii, quality, repair, repetition, secret_scan, warc
 from clausegrid.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_report(table(spark, folder, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = repetition.with_planted_runs(table(spark, folder, "documents"))
     return repetition.run_digest(repetition.find_runs(docs))
@@ -78,6 +82,7 @@ QUERIES = {
         op9_licence_rules,
         op10_ngram_jaccard,
         op11_personal_data,
+        op12_conversation_repair,
         op13_periodic_runs,
     )
 }
@@ -86,5 +91,6 @@ ORACLE = {
     "op7_mix_sources": mixing.SQL,
     "op9_licence_rules": licences.check_sql(),
     "op11_personal_data": pii.check_sql(),
+    "op12_conversation_repair": repair.check_sql(),
     "op13_periodic_runs": repetition.check_sql(),
 }
