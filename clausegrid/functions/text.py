@@ -58,7 +58,8 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(text) / K.CHARS_PER_TOKEN).cast("int"))
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -85,12 +86,19 @@ def running_sums(values: Column, block: int = 256, levels: int = 2) -> Column:
                 before = lambda i: F.coalesce(F.get(through, i - 1), F.lit(0))
                 return F.flatten(F.transform(blocks, lambda sums, i: F.transform(sums, lambda s: s + before(i))))
 
-            return _bound(summed(totals, level - 1), shifted)
+            return bound(summed(totals, level - 1), shifted)
 
         blocks = F.transform(numbers, lambda i: folded(F.slice(part, i * block + 1, F.lit(block))))
-        return F.when(F.size(part) > block, _bound(blocks, carried)).otherwise(folded(part))
+        return F.when(F.size(part) > block, bound(blocks, carried)).otherwise(folded(part))
 
-    return _bound(values, lambda part: summed(part, levels))
+    return bound(values, lambda part: summed(part, levels))
+
+
+def count_below(ascending: Column, limit: Column) -> Column:
+    """How many values of an ascending array lie below ``limit``, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    fits = lambda at: F.coalesce(F.get(ascending, at - 1) < limit, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(fits(at + step), step).otherwise(0))
 
 
 def split_with_offsets(text: Column, separator: str) -> Column:
@@ -125,7 +133,7 @@ def _starts(pieces: Column, gaps: Column, gap_first: bool) -> Column:
 
         return F.transform(running_sums(lengths), made)
 
-    return _bound(F.struct(pieces.alias("pieces"), gaps.alias("gaps")), located)
+    return bound(F.struct(pieces.alias("pieces"), gaps.alias("gaps")), located)
 
 
 def normalise_reference(raw: Column) -> Column:

@@ -14,7 +14,9 @@ from clausegrid.functions import fixed as K
 from clausegrid.functions import text as T
 from clausegrid.functions.ranking import top_n
 from clausegrid.operators.indexing import embed_queries, embed_texts, index_text
+from clausegrid.operators.lexical_index import candidate_blocks, read_blocks, two_looks
 from clausegrid.operators.temporal import removals
+from clausegrid.session import cut_lineage
 
 NEVER = 2**31 - 1  # a day number after every date
 SCORE_DIGITS = 9
@@ -78,7 +80,7 @@ def dense_topk(
     c_blocks = max(1, math.ceil(chunks.count() / chunk_block))
     left = _spread(queries, "query_id", "qb", q_blocks, "cb", c_blocks)
     right = _spread(chunks, "chunk_id", "cb", c_blocks, "qb", q_blocks)
-    return _best_of_cells(left, right, ["qb", "cb"], n)
+    return best_of_cells(left, right, ["qb", "cb"], n)
 
 
 def dense_topk_hashed(
@@ -100,7 +102,7 @@ def dense_topk_hashed(
     c_blocks = max(1, math.ceil(chunks.count() / chunk_block))
     left = _signed(_spread(queries, "query_id", "qb", q_blocks, "cb", c_blocks), tables, bits, dim)
     right = _signed(_spread(chunks, "chunk_id", "cb", c_blocks, "qb", q_blocks), tables, bits, dim)
-    found = _best_of_cells(left, right, ["table", "signature", "qb", "cb"], n, cut=False)
+    found = best_of_cells(left, right, ["table", "signature", "qb", "cb"], n, cut=False)
     once = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_n(once, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], n)
 
@@ -123,7 +125,7 @@ def _signed(df: DataFrame, tables: int, bits: int, dim: int) -> DataFrame:
     return df.select("*", F.posexplode(signatures("vector")).alias("table", "signature"))
 
 
-def _best_of_cells(left: DataFrame, right: DataFrame, cells: list[str], n: int, cut: bool = True) -> DataFrame:
+def best_of_cells(left: DataFrame, right: DataFrame, cells: list[str], n: int, cut: bool = True) -> DataFrame:
     dated = "as_of_day" in left.columns and "valid_from" in right.columns
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -251,19 +253,27 @@ def lexical_topk(
     n: int = K.RETRIEVE_TOP_N,
     valid: DataFrame | None = None,
 ) -> DataFrame:
-    """All query words must occur; ranked by cover density, ties by chunk id."""
-    found = matching_chunks(query_terms_table(queries), postings)
-    if valid is not None:
-        days = queries.select("query_id", "as_of_day")
-        found = (
-            found.join(valid, "chunk_id")
-            .join(days, "query_id")
-            .where("valid_from <= as_of_day AND valid_until > as_of_day")
-        )
-    scored = found.select(
-        "query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("score")
-    )
-    return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], n)
+    """All query words must occur; ranked by cover density, ties by chunk id.
+
+    ``postings`` may be plain ones (chunk_id, term, positions) or blocks of them (``block_postings``), of which only
+    those are read that can hold one of the n best.
+    """
+    terms = query_terms_table(queries)
+
+    def scored(found: DataFrame) -> DataFrame:
+        if valid is not None:
+            days = queries.select("query_id", "as_of_day")
+            found = (
+                found.join(valid, "chunk_id")
+                .join(days, "query_id")
+                .where("valid_from <= as_of_day AND valid_until > as_of_day")
+            )
+        return found.select("query_id", "chunk_id", cover_density(F.col("hits"), F.col("n_terms")).alias("score"))
+
+    if "block" in postings.columns:
+        return two_looks(candidate_blocks(terms, postings), lambda some: scored(read_blocks(some, terms, postings)), n)
+    found = scored(matching_chunks(terms, postings))
+    return top_n(found, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], n)
 
 
 # --- fusion, rescoring, refusal ----------------------------------------------------------
@@ -333,11 +343,13 @@ def retrieve(
     scorer: Callable[[Column, Column], Column] = overlap_score,
     n: int = K.RETRIEVE_TOP_N,
     top_k: int = K.RERANK_TOP_K,
+    nearest: Callable[[DataFrame, DataFrame, int], DataFrame] = dense_topk,
 ) -> DataFrame:
     """Ranked hits (query_id, chunk_id, rank, score, score_kind, rrf_score) in one of four modes.
 
     ``queries``: query_id, text[, as_of_day]; ``chunks``: chunk_id, text. Indexes and vectors
-    may be given when they are stored; otherwise they are derived from the texts.
+    may be given when they are stored; otherwise they are derived from the texts. ``nearest`` finds the
+    neighbours of query vectors; a search of a vector index may stand for the exact scan.
     """
     lists = {}
     if mode != "dense":
@@ -349,7 +361,7 @@ def retrieve(
         if valid is not None:
             vectors = vectors.join(valid.drop("circular_id"), "chunk_id")
             asked = asked.join(queries.select("query_id", "as_of_day"), "query_id")
-        lists["dense"] = dense_topk(asked, vectors, n)
+        lists["dense"] = nearest(asked, vectors, n)
     no_rrf = F.lit(None).cast("double").alias("rrf_score")
     if mode in ("dense", "lexical"):
         kind = "cosine_similarity" if mode == "dense" else "ts_rank_cd"
@@ -368,6 +380,26 @@ def retrieve(
     )
 
 
+def retrieve_or_refuse(
+    queries: DataFrame,
+    chunks: DataFrame,
+    mode: str,
+    threshold: float = K.RELEVANCE_THRESHOLD,
+    apply_threshold: bool = True,
+    **how,
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, one row per query with top_score, threshold and below_threshold), as a user asks for them.
+
+    Only pair scores lie on the scale of the threshold, so only ``hybrid_rerank`` refuses: a query whose best score
+    is below it keeps no hits, unless ``apply_threshold`` is off. ``how`` goes to ``retrieve``.
+    """
+    hits = cut_lineage(retrieve(queries, chunks, mode, **how))
+    gated = mode == "hybrid_rerank"
+    kept, verdict = refusal_gate(hits, queries, threshold if gated else float("-inf"), gated and apply_threshold)
+    limit = F.lit(threshold if gated else None).cast("double")
+    return kept, verdict.select("query_id", "top_score", limit.alias("threshold"), "below_threshold")
+
+
 def temporal_exclusions(
     queries: DataFrame,
     chunks: DataFrame,

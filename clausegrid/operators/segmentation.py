@@ -6,10 +6,7 @@ bounded by them; all of them share one exchange on the document id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -156,85 +153,84 @@ def chunk_paragraphs(
 ) -> DataFrame:
     """Whole paragraphs grouped up to a token target, with a trailing overlap.
 
-    The grouping is sequential inside a document. Spark brings the rows together in order and
-    each task streams over them, holding only the paragraphs of the open chunk; it emits the
-    chunk's paragraph bounds and the text is built by Spark from those.
+    A document's paragraphs meet in one row, and everything else happens there. Which paragraphs a chunk holds
+    follows from the first *new* one p alone: it begins with as many before p as the overlap takes, no
+    further back than the last paragraph that filled a chunk by itself, and ends before the target is passed. Both
+    ends are searched in the running token sums. So p also knows the next chunk's first new paragraph, and
+    the chunks are the paragraphs reached from the first one by these pointers.
     """
-    rows = paragraphs.select(
-        "doc_id",
-        F.col("order_index").cast("long").alias("order_index"),
+    place = F.struct(
+        F.col("order_index").cast("long").alias("order_index"), "text", "char_start", "char_end", "heading_path",
         T.estimate_tokens(F.col("text")).alias("tokens"),
     )
-    bounds = (
-        rows.repartition("doc_id")
-        .sortWithinPartitions("doc_id", "order_index")
-        .mapInPandas(
-            _chunk_bounds(target_tokens, overlap_tokens),
-            "doc_id long, chunk int, first_paragraph long, last_paragraph long",
-        )
-    )
-    spans = bounds.withColumn(
-        "order_index", F.explode(F.sequence("first_paragraph", "last_paragraph"))
-    )
-    body = paragraphs.select(
+    documents = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("p"))
+    bounds = _chunk_bounds(F.col("p.tokens"), target_tokens, overlap_tokens)
+    chunks = documents.select("doc_id", "p", F.posexplode(bounds).alias("order_index", "b"))
+    held = F.slice("p", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1)
+    rows = chunks.select("doc_id", "order_index", held.alias("p"))
+    text = F.array_join("p.text", K.PARAGRAPH_SEPARATOR)
+    return rows.select(
         "doc_id",
-        F.col("order_index").cast("long").alias("order_index"),
-        "text",
-        "char_start",
-        "char_end",
-        "heading_path",
-    )
-    members = spans.join(body, ["doc_id", "order_index"])
-    ordered = F.array_sort(F.collect_list(F.struct("order_index", "text")))["text"]
-    grouped = members.groupBy("doc_id", "chunk", "first_paragraph", "last_paragraph").agg(
-        F.array_join(ordered, K.PARAGRAPH_SEPARATOR).alias("text"),
-        F.min("char_start").alias("char_start"),
-        F.max("char_end").alias("char_end"),
-        F.min_by("heading_path", "order_index").alias("heading_path"),
-    )
-    return grouped.select(
-        "doc_id",
-        F.col("chunk").alias("order_index"),
-        "text",
-        "char_start",
-        "char_end",
-        T.estimate_tokens(F.col("text")).alias("token_count"),
-        "heading_path",
-        "first_paragraph",
-        "last_paragraph",
-    )
-
-
-def _chunk_bounds(target: int, overlap: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, chunk, group, filled = None, 0, [], 0
-
-        for batch in batches:
-            out = []
-            for d, i, cost in zip(batch["doc_id"], batch["order_index"], batch["tokens"]):
-                if d != doc:
-                    if group:
-                        out.append((doc, chunk, group[0][0], group[-1][0]))
-                    doc, chunk, group, filled = d, 0, [], 0
-                if group and filled + cost > target:
-                    out.append((doc, chunk, group[0][0], group[-1][0]))
-                    chunk += 1
-                    room, keep = overlap, len(group)
-                    while keep > 0 and group[keep - 1][1] <= room:
-                        keep -= 1
-                        room -= group[keep][1]
-                    group = group[keep:]
-                    filled = overlap - room
-                group.append((i, cost))
-                filled += cost
-                if cost >= target:
-                    out.append((doc, chunk, group[0][0], group[-1][0]))
-                    chunk, group, filled = chunk + 1, [], 0
-            yield pd.DataFrame(out, columns=["doc_id", "chunk", "first_paragraph", "last_paragraph"])
-        if group:
-            yield pd.DataFrame(
-                [(doc, chunk, group[0][0], group[-1][0])],
-                columns=["doc_id", "chunk", "first_paragraph", "last_paragraph"],
-            )
-
-    return run
+        F.col("order_index").cast("int").alias("order_index"),
+        text.alias("text"),
+        F.array_min("p.char_start").alias("char_start"),
+        F.array_max("p.char_end").alias("char_end"),
+        T.estimate_tokens(text).alias("token_count"),
+        F.element_at("p", 1)["heading_path"].alias("heading_path"),
+        F.element_at("p", 1)["order_index"].alias("first_paragraph"),
+        F.element_at("p", -1)["order_index"].alias("last_paragraph"),
+    )
+
+
+#: Doublings of the chunk list: two chunks hold more than a target of tokens together, so a document of the
+#: largest text a row can hold has fewer than 2 ** 22 chunks.
+DOUBLINGS = 22
+
+
+def _chunk_bounds(tokens: Column, target: int, overlap: int) -> Column:
+    """(first, last) paragraph of each chunk in order, from the token counts of a document's paragraphs."""
+
+    def pointers(n: Column) -> Column:
+        """For every paragraph as the first new one: the chunk's bounds, and the next first new one."""
+        large = F.filter(F.transform(n["tokens"], lambda t, i: F.when(t >= target, i)), lambda i: i.isNotNull())
+
+        def of(m: Column) -> Column:
+            through = lambda i: F.coalesce(F.get(m["through"], i), F.lit(0))
+
+            def bounds(t: Column, p: Column) -> Column:
+                fresh = F.coalesce(F.get(m["large"], T.count_below(m["large"], p) - 1) + 1, F.lit(0))
+                # The first s whose sum of what stands before it is at least that before p less the overlap.
+                back = through(p - 1) - overlap
+                first = F.when(back <= 0, F.lit(0)).otherwise(T.count_below(m["through"], back) + 1)
+                return T.bound(
+                    F.greatest(fresh, F.least(first, p)),
+                    lambda s: F.struct(
+                        s.alias("first"),
+                        F.when(t >= target, p)
+                        .otherwise(F.greatest(p, T.count_below(m["through"], through(s - 1) + target + 1) - 1))
+                        .alias("last"),
+                    ),
+                )
+
+            return F.transform(n["tokens"], bounds)
+
+        return T.bound(F.struct(large.alias("large"), n["through"].alias("through")), of)
+
+    def chained(b: Column) -> Column:
+        follow = F.transform(b, lambda x: F.when(x["last"] + 1 < F.size(b), x["last"] + 1))
+
+        def doubled(state: Column, left: int) -> Column:
+            further = F.filter(F.transform(state["starts"], lambda i: F.get(state["jump"], i)), lambda i: i.isNotNull())
+            starts = F.concat(state["starts"], further)
+            if left == 1:
+                return starts
+            jump = F.transform(state["jump"], lambda j: F.get(state["jump"], j))
+            more = T.bound(F.struct(starts.alias("starts"), jump.alias("jump")), lambda next_: doubled(next_, left - 1))
+            return F.when(F.get(state["jump"], F.element_at(state["starts"], -1)).isNull(), starts).otherwise(more)
+
+        first = F.struct(F.array(F.lit(0)).alias("starts"), follow.alias("jump"))
+        starts = T.bound(first, lambda state: doubled(state, DOUBLINGS))
+        return F.transform(starts, lambda i: F.get(b, i))
+
+    numbers = F.struct(tokens.alias("tokens"), T.running_sums(tokens).alias("through"))
+    return T.bound(T.bound(numbers, pointers), chained)

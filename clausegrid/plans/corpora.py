@@ -541,6 +541,12 @@ class Corpora:
 
         return index_text(self.chunks)
 
+    @stored
+    def posting_blocks(self) -> DataFrame:
+        from clausegrid.operators.lexical_index import block_postings
+
+        return block_postings(self.postings, self.chunks.count())
+
     @stored
     def vectors(self) -> DataFrame:
         from clausegrid.operators.indexing import embed_texts

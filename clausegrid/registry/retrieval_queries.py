@@ -10,8 +10,10 @@ from clausegrid.operators import catalogue as C
 from clausegrid.operators import evaluation as E
 from clausegrid.operators import indexing as I
 from clausegrid.operators import retrieval as R
+from clausegrid.operators import vector_index as V
 from clausegrid.plans.corpora import Corpora
 from clausegrid.registry.core import query
+from clausegrid.session import shared_folder
 
 
 def chunks_of(c: Corpora):
@@ -98,9 +100,21 @@ def _(c: Corpora):
     return R.dense_topk_hashed(*_vectors(c), dim=64)
 
 
+@query(
+    "dense_topk_indexed",
+    """SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id,
+    round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b))
+WHERE rank <= 50""",
+)
+def _(c: Corpora):
+    asked, vectors = _vectors(c)
+    return V.indexed_topk(asked, V.build_index(vectors, shared_folder(c.spark, "vector-index")))
+
+
 @query("lexical_topk", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM lexical_hits")
 def _(c: Corpora):
-    return R.lexical_topk(queries_of(c), c.postings).withColumn(
+    return R.lexical_topk(queries_of(c), c.posting_blocks).withColumn(
         "score", F.round("score", 9)
     )
 
@@ -134,7 +148,7 @@ def _(c: Corpora):
 def _mode(name: str, sql: str) -> None:
     @query(f"retrieve_{name}", sql)
     def _(c: Corpora):
-        hits = R.retrieve(queries_of(c), chunks_of(c), name, c.postings, c.vectors)
+        hits = R.retrieve(queries_of(c), chunks_of(c), name, c.posting_blocks, c.vectors)
         return hits.withColumns({"score": F.round("score", 9), "rrf_score": F.round("rrf_score", 9)})
 
 
@@ -144,6 +158,22 @@ _mode("hybrid", "SELECT query_id, chunk_id, rank, round(rrf_score, 9) AS score,
 _mode("hybrid_rerank", "SELECT query_id, chunk_id, rank, round(score, 9) AS score, 'pair_score' AS score_kind, round(rrf_score, 9) AS rrf_score FROM reranked_hits WHERE rank <= 8")
 
 
+@query(
+    "retrieve_or_refuse",
+    """SELECT query_id, chunk_id, rank, round(score, 9) AS score, best AS top_score, best < 0.9 AS refused FROM (
+  SELECT *, round(max(score) OVER (PARTITION BY query_id), 9) AS best FROM reranked_hits WHERE rank <= 8)""",
+)
+def _(c: Corpora):
+    """Hits kept and hits refused, at a threshold that part of the queries miss."""
+    how = {"postings": c.posting_blocks, "vectors": c.vectors, "threshold": 0.9}
+    kept, verdict = R.retrieve_or_refuse(queries_of(c), chunks_of(c), "hybrid_rerank", **how)
+    every, _ = R.retrieve_or_refuse(queries_of(c), chunks_of(c), "hybrid_rerank", apply_threshold=False, **how)
+    marked = every.join(kept.select("query_id", "chunk_id", F.lit(True).alias("kept")), ["query_id", "chunk_id"], "left")
+    return marked.join(verdict, "query_id").select(
+        "query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), F.round("top_score", 9).alias("top_score"), F.col("kept").isNull().alias("refused")
+    )
+
+
 def _dense_candidates(c: Corpora):
     return R.retrieve(queries_of(c), chunks_of(c), "dense", vectors=c.vectors, top_k=50).select("query_id", "chunk_id")
 
@@ -174,7 +204,7 @@ def _(c: Corpora):
 FROM lexical_hits l JOIN documents d ON d.doc_id = l.chunk_id LEFT JOIN circulars k ON k.id = d.doc_id""",
 )
 def _(c: Corpora):
-    hits = R.lexical_topk(queries_of(c), c.postings).select("query_id", "chunk_id", "rank")
+    hits = R.lexical_topk(queries_of(c), c.posting_blocks).select("query_id", "chunk_id", "rank")
     full = R.hydrate_hits(hits, chunks_of(c), c.circulars)
     return full.withColumn("digest", F.sha2("text", 256)).drop("text")
 

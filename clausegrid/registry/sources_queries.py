@@ -11,6 +11,7 @@ from clausegrid.registry.core import query
 from clausegrid.session import shared_folder
 from clausegrid.sources import ingest as I
 from clausegrid.sources import jsonl as J
+from clausegrid.sources import layers
 from clausegrid.sources import listings as H
 from clausegrid.sources import manifests as M
 
@@ -176,6 +177,27 @@ def _(c: Corpora):
     return good.union(c.spark.read.parquet(f"{folder}/bad").select(F.lit("bad"), "doc_id", "reason"))
 
 
+@query(
+    "ingest_parse_sink",
+    """SELECT doc_id, CASE WHEN reason IS NULL THEN 'good' ELSE 'bad' END AS outcome, reason, chars, day FROM (
+  SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'not JSON' WHEN doc_id % 7 = 0 THEN 'chars is no bigint'
+      WHEN doc_id % 13 = 0 THEN 'no day' WHEN doc_id % 5 = 0 THEN 'day is no date' END AS reason,
+    CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN n_chars END AS chars,
+    CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 5 <> 0 THEN make_date(1998, 1 + doc_id % 12, 15) END AS day FROM documents)""",
+)
+def _(c: Corpora):
+    """A line for every document, some cut short, some with broken numbers or dates; all are kept, with a reason."""
+    key = F.col("doc_id")
+    chars = F.when(key % 7 == 0, "many").otherwise(F.col("n_chars").cast("string"))
+    month = F.lpad((1 + key % 12).cast("string"), 2, "0")
+    day = F.when(key % 5 == 0, "1998-02-30").otherwise(F.concat(F.lit("1998-"), month, F.lit("-15")))
+    line = F.concat(F.lit('{"chars": "'), chars, F.lit('"'), F.when(key % 13 == 0, "").otherwise(F.concat(F.lit(', "day": "'), day, F.lit('"'))), F.lit("}"))
+    cut = F.when(key % 11 == 0, F.substring(line, 1, 9)).otherwise(line)
+    path = f"{shared_folder(c.spark, 'parsed')}/rows"
+    M.isolated_sink(M.parse_isolated(c.documents.select("doc_id", cut.alias("value")), {"chars": "bigint", "day": "date"}, ("day",)), path)
+    return c.spark.read.parquet(path).select("doc_id", "outcome", "reason", "chars", "day")
+
+
 def _listings(c: Corpora):
     """Listing pages of two rows, one per pair of order and its predecessor by key."""
     key = F.col("id").cast("string")
@@ -280,7 +302,7 @@ def _(c: Corpora):
     J.replace_by_key(turns.withColumn("version", F.lit("first")), path, "role")
     for _ in range(2):
         J.replace_by_key(turns.where("role = 'user'").withColumn("version", F.lit("second")), path, "role")
-    return c.spark.read.parquet(path).select("conv_id", "turn", "role", "version")
+    return layers.read(c.spark, path).select("conv_id", "turn", "role", "version")
 
 
 @query(

@@ -15,13 +15,16 @@ def classify_ingest(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     circular_number. Rows count as if stored one after the other: a row is skipped when its
     checksum is stored or came in before, a conflict when its number did, failed without text.
     Rounds settle every row that is first for both its checksum and its number among the rows
-    still open, which gives what going row by row would; nearly always one round is enough.
+    still open, which gives what going row by row would; nearly always one round is enough. A row without
+    checksum or number is nobody's copy or conflict in that respect.
     """
+    # What a row does not know it shares with no other row.
+    own = lambda name: F.coalesce(name, F.concat(F.lit("\u0000"), F.col("batch_order").cast("string"))).alias(name)
     sums = stored.select("checksum").distinct()
     numbers = stored.select("circular_number").distinct()
     open_ = cut_lineage(
         incoming.where("has_text")
-        .select("batch_order", "checksum", "circular_number")
+        .select("batch_order", own("checksum"), own("circular_number"))
         .join(sums, "checksum", "left_anti")
         .join(numbers, "circular_number", "left_anti")
     )

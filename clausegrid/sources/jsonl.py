@@ -8,6 +8,7 @@ from pyspark.sql import types as S
 
 from clausegrid.functions import text as T
 from clausegrid.functions.scan import running_count
+from clausegrid.sources import layers
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +41,12 @@ def jsonl_with_errors(lines: DataFrame, schema: S.StructType) -> tuple[DataFrame
 
 
 def replace_by_key(df: DataFrame, path: str, key: str) -> None:
-    """Rewrite only the partitions of the keys in ``df``; running it twice leaves one copy."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Rows of ``df`` take the place of those stored under their keys; running it twice leaves one copy.
+
+    The table is read by ``layers.read``: before the one step that makes the new rows visible it gives the
+    old ones, whole, and after it the new ones. Rows without a key share one place.
+    """
+    layers.replace_parts(df, path, key)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -109,3 +109,38 @@ def split_sink(rows: DataFrame, checks: dict[str, Column], good_path: str, bad_p
     good, bad = quarantine(rows, checks)
     good.write.mode("overwrite").parquet(good_path)
     bad.write.mode("overwrite").parquet(bad_path)
+
+
+def parse_isolated(
+    lines: DataFrame, fields: dict[str, str], required: tuple[str, ...] = (), date_format: str = "yyyy-MM-dd"
+) -> DataFrame:
+    """(value, …) JSON lines → the other columns, ``fields`` with their types, and ``reason``, null where all is well.
+
+    A line that cannot be read fails alone: it is ``not JSON``, has ``no <field>`` though that is required, or its
+    ``<field> is no <type>``; the first of these in the order of the fields is given. Types are Spark's names; dates
+    must exist and follow ``date_format``. Fields that could be read keep their values beside a reason.
+    """
+    raw = S.StructType([*(S.StructField(f, S.StringType()) for f in fields), S.StructField("__bad", S.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    rest = [c for c in lines.columns if c != "value" and c not in fields]
+    read = lines.select(*rest, F.from_json("value", raw, options).alias("__row"))
+
+    def typed(name: str) -> Column:
+        text = F.col(f"__row.{name}")
+        if fields[name] == "date":
+            return F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+        return text.try_cast(fields[name])
+
+    reasons = [F.when(F.col("__row").isNull() | F.col("__row.__bad").isNotNull(), "not JSON")]
+    for name, kind in fields.items():
+        absent = F.col(f"__row.{name}").isNull()
+        if name in required:
+            reasons.append(F.when(absent, f"no {name}"))
+        reasons.append(F.when(~absent & typed(name).isNull(), f"{name} is no {kind}"))
+    return read.select(*rest, *(typed(f).alias(f) for f in fields), F.coalesce(*reasons).alias("reason"))
+
+
+def isolated_sink(parsed: DataFrame, path: str) -> None:
+    """Writes parsed rows in one pass, those with a reason apart: ``outcome=good`` and ``outcome=bad`` under ``path``."""
+    outcome = F.when(F.col("reason").isNull(), "good").otherwise("bad")
+    parsed.withColumn("outcome", outcome).write.mode("overwrite").partitionBy("outcome").parquet(path)
