@@ -59,7 +59,9 @@ class _Changes(StatefulProcessor):
         self.ended = handle.getValueState("ended", "at long", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        steps = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        steps = pd.concat(list(rows), ignore_index=True)
+        # Computed columns come without their names, but in order.
+        steps = steps.set_axis([*self.columns, "__print", "__seq"], axis=1).sort_values(self.order, kind="stable")
         known = {seq: value for (seq,), (value,) in self.prints.iterator()}
         before = steps.groupby("__seq")["__print"].shift()
         first = before.isna()
@@ -166,13 +168,13 @@ def trace_terminal(log: DataFrame, timeout_seconds: int = K.TRACE_TIMEOUT_SECOND
 class _Ends(StatefulProcessor):
     """Value state: when the run's timer goes off, and whether the run has been reported."""
 
-    def __init__(self, run_id: str, limit_ms: int):
-        self.run_id, self.limit = run_id, limit_ms
+    def __init__(self, run_id: str, limit_ms: int, ttl_ms: int):
+        self.run_id, self.limit, self.ttl = run_id, limit_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", "at long")
-        self.reported = handle.getValueState("reported", "at long", self.limit)
+        self.reported = handle.getValueState("reported", "at long", self.ttl)
 
     def _found(self, key, now: int, event: str, status: str | None) -> pd.DataFrame:
         if self.until.exists():
@@ -198,16 +200,18 @@ class _Ends(StatefulProcessor):
         yield self._found(key, timerValues.getCurrentProcessingTimeInMs(), "timeout", None)
 
 
-def trace_terminal_stream(log: DataFrame, timeout_seconds: int = K.TRACE_TIMEOUT_SECONDS) -> DataFrame:
+def trace_terminal_stream(
+    log: DataFrame, timeout_seconds: int = K.TRACE_TIMEOUT_SECONDS, ttl_seconds: int = IDLE_SECONDS
+) -> DataFrame:
     """The same on a stream with a processing-time timer per run; a run is reported once.
 
-    The timer runs from a run's first row, whatever rows follow, and is taken back when the run ends. A reported
-    run is remembered for one more limit and then forgotten, by time-to-live.
+    The timer runs from a run's first row, whatever rows follow, and is taken back when the run ends. That a run has
+    been reported is remembered for ``ttl_seconds``.
     """
     use_state_store(log.sparkSession)
     run_type = log.schema["run_id"].dataType.simpleString()
     return log.groupBy("run_id").transformWithStateInPandas(
-        _Ends("run_id", timeout_seconds * 1000), f"run_id {run_type}, event string, status string", "Append", "ProcessingTime"
+        _Ends("run_id", timeout_seconds * 1000, ttl_seconds * 1000), f"run_id {run_type}, event string, status string", "Append", "ProcessingTime"
     )
 
 

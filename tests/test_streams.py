@@ -101,13 +101,13 @@ def test_state_of_changes_ends_with_the_run(spark, tmp_path):
 
 def test_spending_is_forgotten_after_silence(spark, tmp_path):
     schema, out = "id long, run_id long, tokens long", []
-    running, write = started(spark, tmp_path, schema, lambda calls: trace.budget_stream(calls, ["id"], 3, 100, ttl_seconds=5), out)
+    running, write = started(spark, tmp_path, schema, lambda calls: trace.budget_stream(calls, ["id"], 3, 100, ttl_seconds=20), out)
     try:
         write("first", [(1, 1, 60), (2, 1, 60), (3, 1, 1), (4, 2, 5)])
         wait_for(lambda: len(out) >= 4)
         write("second", [(5, 2, 7)])
         wait_for(lambda: len(out) >= 5)
-        time.sleep(7)
+        time.sleep(22)
         write("third", [(6, 1, 9), (7, 3, 1)])
         wait_for(lambda: len(out) >= 7)
     finally:
