@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,21 +149,71 @@ POISSON_STEPS = [
 ]
 
 
-def poisson_weight(cluster: Column, resample: Column, seed: int) -> Column:
-    """How often a resample takes a cluster: Poisson(1), from the cluster's name and the resample's number.
+#: Hex digits of a cluster's MD5 in each of the numbers that steer its draws; together they are the whole hash.
+HASH_PARTS = ((1, 7), (8, 7), (15, 7), (22, 7), (29, 4))
+#: Clusters drawn together in a task, and keys whose sums a task holds before it hands them on.
+DRAWN_TOGETHER, KEYS_HELD = 256, 64
 
-    Two rounds of the fifth power modulo a prime, which permutes the residues, mix the pair's
-    number; plain integer arithmetic keeps billions of draws cheap and every engine agrees.
-    """
 
-    def fifth(x: Column) -> Column:
-        square = x * x % DRAW_PRIME
-        return square * square % DRAW_PRIME * x % DRAW_PRIME
+def cluster_numbers(cluster: Column) -> Column:
+    """The MD5 of a cluster's name as an array of numbers below 2**28."""
+    digest = F.md5(cluster)
+    return F.array(*(F.conv(F.substring(digest, start, size), 16, 10).cast("long") for start, size in HASH_PARTS))
 
-    number = F.conv(F.substring(F.md5(cluster), 1, 7), 16, 10).cast("long")
-    start = (number + resample.cast("long") * 268435459 + seed) % DRAW_PRIME
-    drawn = fifth((fifth(start) + seed) % DRAW_PRIME)
-    return sum(((drawn >= step).cast("long") for step in POISSON_STEPS), F.lit(0).cast("long"))
+
+def poisson_weights(numbers: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """How often each resample takes each cluster: Poisson(1), a row for each cluster.
+
+    The resample's number goes through one round for each part of the cluster's hash: the part is added and the
+    fifth power taken modulo a prime, which permutes the residues. Two clusters draw alike only if their
+    whole hashes agree, and any engine with whole numbers can repeat the draws.
+    """
+    x = np.arange(resamples, dtype=np.int64)[None, :] * 268435459 + seed
+    for part in numbers.T:
+        x = (x + part[:, None]) % DRAW_PRIME
+        square = x * x % DRAW_PRIME
+        x = square * square % DRAW_PRIME * x % DRAW_PRIME
+    return np.searchsorted(np.array(POISSON_STEPS), x, "right").astype("float64")
+
+
+def _resampled(sums: DataFrame, keys: list[str], metrics: list[str], resamples: int, seed: int) -> DataFrame:
+    """keys, __b, __k clusters, __n rows and the metrics' sums taken by resample __b, as each task sees them."""
+    own = sums.select(*keys, "__numbers", "__n", *(F.col(f"__s_{m}").cast("double").alias(m) for m in metrics))
+    names = ["__n", *metrics]
+    schema = own.select(*keys, F.lit(0).alias("__b"), F.lit(0).cast("long").alias("__k"), *(F.lit(0.0).alias(c) for c in names)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for key, (k, seen, total) in held.items():
+                columns = [pa.array([v] * resamples, f.type) for v, f in zip(key, arrow)]
+                values = [pa.array(t, pa.float64()) if there else pa.nulls(resamples, pa.float64()) for t, there in zip(total, seen)]
+                columns += [pa.array(range(resamples), pa.int32()), pa.array([k] * resamples, pa.int64()), *values]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            arrow = [batch.schema.field(c) for c in keys]
+            found = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            numbers = batch.column("__numbers").flatten().to_numpy().reshape(-1, len(HASH_PARTS))
+            values = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], 1)
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(found):
+                rows.setdefault(key, []).append(i)
+            for key, mine in rows.items():
+                for at in range(0, len(mine), DRAWN_TOGETHER):
+                    some = mine[at : at + DRAWN_TOGETHER]
+                    part = values[some]
+                    drawn = np.nan_to_num(part).T @ poisson_weights(numbers[some], resamples, seed)
+                    k, seen, total = held.get(key, (0, np.zeros(len(names), bool), 0.0))
+                    held[key] = (k + len(some), seen | ~np.isnan(part).all(0), total + drawn)
+                if len(held) >= KEYS_HELD:
+                    yield from handed()
+        if held:
+            yield from handed()
+
+    return own.mapInArrow(run, schema)
 
 
 def cluster_bootstrap(
@@ -174,20 +227,17 @@ def cluster_bootstrap(
     """Percentile intervals of means under resampling of whole clusters, per key.
 
     Rows shrink to sums per cluster. Each resample takes a cluster a Poisson-distributed number of
-    times, which needs no join, numbering or size of the whole; sums are combined in each task before
-    they travel, so that one row per key and resample does. Fewer than five clusters give no interval.
-    The bounds are order statistics of the resamples.
+    times, which needs no join, numbering or size of the whole; blocks of clusters times resamples are one
+    product in the task that holds them, and one row per key, resample and task travels. Fewer than five
+    clusters give no interval. The bounds are order statistics of the resamples.
     """
     sums = rows.groupBy(*keys, "cluster").agg(
         F.count("*").alias("__n"), *[F.sum(m).alias(f"__s_{m}") for m in metrics]
     )
-    drawn = sums.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
-        "__w", poisson_weight(F.col("cluster"), F.col("__b"), seed)
-    )
-    taken = F.sum(F.col("__w") * F.col("__n"))
+    drawn = _resampled(sums.withColumn("__numbers", cluster_numbers(F.col("cluster"))), keys, metrics, resamples, seed)
     means = (
         drawn.groupBy(*keys, "__b")
-        .agg(F.count("*").alias("__k"), *[F.try_divide(F.sum(F.col("__w") * F.col(f"__s_{m}")), taken).alias(m) for m in metrics])
+        .agg(F.sum("__k").alias("__k"), *[F.try_divide(F.sum(m), F.sum("__n")).alias(m) for m in metrics])
         .where(F.col("__k") >= K.BOOTSTRAP_MIN_CLUSTERS)
     )
     tail = (1 - level) / 2

@@ -151,11 +151,13 @@ def _bootstrap_sql(rows: str, keys: str, metrics: list[str]) -> str:
     one = lambda m, i: f"round(list_sort(list({m}) FILTER ({m} IS NOT NULL))[{i}], 6)"
     bounds = ", ".join(f"{one(m, 50)} AS {m}_low, {one(m, 1951)} AS {m}_high" for m in metrics)
     weight = " + ".join(f"CAST(u >= {step} AS BIGINT)" for step in E.POISSON_STEPS)
+    drawn = f"""(SELECT *, resample * 268435459 + 20261015 AS x0
+      FROM (SELECT {keys}, cluster, md5(cluster) AS h, count(*) AS n, {sums} FROM ({rows}) GROUP BY ALL), range(2000) AS r(resample))"""
+    for i, (start, size) in enumerate(E.HASH_PARTS):
+        fifth = f"(y{i} * y{i} % 2147483647) * (y{i} * y{i} % 2147483647) % 2147483647 * y{i} % 2147483647"
+        drawn = f"(SELECT *, {fifth} AS x{i + 1} FROM (SELECT *, (x{i} + ('0x' || substr(h, {start}, {size}))::BIGINT) % 2147483647 AS y{i} FROM {drawn}))"
     return f"""SELECT {keys}, {bounds} FROM (SELECT {keys}, resample, {means} FROM (SELECT *, {weight} AS w
-    FROM (SELECT *, (y * y % 2147483647) * (y * y % 2147483647) % 2147483647 * y % 2147483647 AS u
-    FROM (SELECT *, ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647 * x % 2147483647 + 20261015) % 2147483647 AS y
-    FROM (SELECT *, (('0x' || substr(md5(cluster), 1, 7))::BIGINT + resample * 268435459 + 20261015) % 2147483647 AS x
-    FROM (SELECT {keys}, cluster, count(*) AS n, {sums} FROM ({rows}) GROUP BY ALL), range(2000) AS r(resample)))))
+    FROM (SELECT *, x5 AS u FROM {drawn}))
   GROUP BY {keys}, resample HAVING count(*) >= 5) GROUP BY {keys}"""
 
 
