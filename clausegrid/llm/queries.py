@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clausegrid.llm import bpe, caps, lengths, licences, mixing, ngram_join, passages, pii, quality, repair, repetition, secret_scan, warc
-from clausegrid.llm.common import table
+from clausegrid.llm.common import stored, table
 
 
 #: The vocabulary file; it must be readable under this path on every executor.
@@ -23,7 +23,9 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, folder, "documents"), VOCABULARY, ("source",))
-    return lengths.context_totals(lengths.length_histogram(counted, ("source",)), ("source",))
+    # Written once: the sums look at it twice, and the texts should be encoded once.
+    histogram = stored(lengths.length_histogram(counted, ("source",)), "length-histogram")
+    return lengths.context_totals(histogram, ("source",))
 
 
 def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
