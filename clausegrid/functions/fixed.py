@@ -19,8 +19,8 @@ LIGATURES = {
     "ﬅ": "st",
     "ﬆ": "st",
 }
-EXOTIC_SPACES = "    "
-INVISIBLE = "­​‌‍﻿"
+EXOTIC_SPACES = "\u00a0\u2007\u2009\u202f"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
 
 # --- page routing -----------------------------------------------------------------------
 FULL_DENSITY_CHARS_PER_SQIN = 5.0

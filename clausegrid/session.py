@@ -32,7 +32,8 @@ def _base_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is not None:
         return base.rstrip("/")
-    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+    # A master that cannot be read is not this machine.
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
 
