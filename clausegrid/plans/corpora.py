@@ -594,14 +594,14 @@ class Corpora:
 
     @cached_property
     def review_candidates(self) -> DataFrame:
+        """Every two turns of a conversation are one candidate, unless only the system speaks in them."""
         key = F.col("conv_id")
-        return (
-            self.conversations.where("turn = 0 AND role <> 'system'").select(
-                F.concat(F.lit("r-"), key.cast("string")).alias("record_id"),
-                F.md5((key % 5).cast("string")).alias("snapshot_sha256"),
-                F.when(key % 3 == 0, "rules").otherwise("model").alias("generator"),
-                F.when(key % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
-            )
+        pairs = self.conversations.where("role <> 'system'").select("conv_id", F.expr("turn div 2").alias("pair")).distinct()
+        return pairs.select(
+            F.concat_ws("-", F.lit("r"), key, "pair").alias("record_id"),
+            F.md5((key % 5).cast("string")).alias("snapshot_sha256"),
+            F.when((key + F.col("pair")) % 3 == 0, "rules").otherwise("model").alias("generator"),
+            F.when(key % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
         )
 
     @cached_property
@@ -610,7 +610,7 @@ class Corpora:
         key, turn = F.col("conv_id"), F.col("turn")
         return self.conversations.select(
             (key * 1000 + turn).alias("line"),
-            F.when(turn % 13 != 12, F.concat(F.lit("r-"), key.cast("string"))).alias("record_id"),
+            F.when(turn % 13 != 12, F.concat_ws("-", F.lit("r"), key, F.expr("turn div 2"))).alias("record_id"),
             F.when(turn % 7 == 6, "maybe")
             .when(F.col("role") == "user", "supported")
             .when(F.col("role") == "assistant", "unsupported")

@@ -466,13 +466,13 @@ shared(
 )
 shared(
     "review_candidates",
-    """SELECT 'r-' || conv_id AS record_id, md5(CAST(conv_id % 5 AS VARCHAR)) AS snapshot_sha256,
-  CASE conv_id % 3 WHEN 0 THEN 'rules' ELSE 'model' END AS generator, CASE conv_id % 2 WHEN 0 THEN 'real' ELSE 'synthetic' END AS corpus
-FROM conversations WHERE turn = 0 AND role <> 'system'""",
+    """SELECT 'r-' || conv_id || '-' || pair AS record_id, md5(CAST(conv_id % 5 AS VARCHAR)) AS snapshot_sha256,
+  CASE (conv_id + pair) % 3 WHEN 0 THEN 'rules' ELSE 'model' END AS generator, CASE conv_id % 2 WHEN 0 THEN 'real' ELSE 'synthetic' END AS corpus
+FROM (SELECT DISTINCT conv_id, turn // 2 AS pair FROM conversations WHERE role <> 'system')""",
 )
 shared(
     "reviews",
-    """SELECT conv_id * 1000 + turn AS line, CASE WHEN turn % 13 <> 12 THEN 'r-' || conv_id END AS record_id,
+    """SELECT conv_id * 1000 + turn AS line, CASE WHEN turn % 13 <> 12 THEN 'r-' || conv_id || '-' || (turn // 2) END AS record_id,
   CASE WHEN turn % 7 = 6 THEN 'maybe' WHEN role = 'user' THEN 'supported' WHEN role = 'assistant' THEN 'unsupported' ELSE 'insufficient' END AS label,
   'p' || turn AS reviewer_id, CASE WHEN turn % 5 = 4 THEN 'model' ELSE 'human' END AS reviewer_type,
   CASE WHEN turn % 11 = 5 THEN '2024-01-01' ELSE '2024-01-01T10:00:00+00:00' END AS reviewed_at,

@@ -108,17 +108,17 @@ def _(c: Corpora):
 
 @query(
     "resolve_page_text",
-    """SELECT d.doc_id, 1 AS page_number, n_chars < 200 AS needs_vision,
+    """SELECT d.doc_id // 8 AS doc_id, CAST(d.doc_id % 8 + 1 AS INT) AS page_number, n_chars < 200 AS needs_vision,
   CASE WHEN n_chars < 200 AND trim(t.text) <> '' THEN trim(t.text) ELSE d.text END AS text,
   CASE WHEN n_chars < 200 AND trim(t.text) <> '' THEN 'vision' ELSE 'text' END AS extraction_method
-FROM documents d LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) t ON t.conv_id = d.doc_id""",
+FROM documents d LEFT JOIN conversations t ON t.conv_id = d.doc_id // 8 AND t.turn = d.doc_id % 8""",
 )
 def _(c: Corpora):
-    pages = c.documents.select(
-        "doc_id", F.lit(1).alias("page_number"), "text", (F.col("n_chars") < 200).alias("needs_vision")
-    )
-    told = c.conversations.where("turn = 0").select(
-        F.col("conv_id").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("transcript")
+    """Eight documents are the pages of one; every turn of a conversation is the transcript of a page."""
+    page = (F.col("doc_id") % 8 + 1).cast("int").alias("page_number")
+    pages = c.documents.select(F.expr("doc_id div 8").alias("doc_id"), page, "text", (F.col("n_chars") < 200).alias("needs_vision"))
+    told = c.conversations.select(
+        F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("transcript")
     )
     return G.resolve_page_text(pages, told)
 
