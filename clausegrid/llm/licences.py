@@ -71,6 +71,8 @@ RULES = [
     ("BSD-3-Clause", "<BSD3>"),
     ("BSD-2-Clause", "<BSD2>"),
     ("Public-Domain", "<PUBLIC_DOMAIN>"),
+    # A notice that a licence (by now "#") follows is that licence's own.
+    (None, "(?:<COPYRIGHT>)?<ALL_RIGHTS>(?:<COPYRIGHT>|<ALL_RIGHTS>)*#"),
     ("Proprietary", "(?:<COPYRIGHT>)?<ALL_RIGHTS>"),
     ("Unknown", "<OTHER_LICENCE>"),
 ]
@@ -135,7 +137,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("left", F.col("identifiers"))
     for k, (_, pattern) in enumerate(RULES):
         rows = rows.select("*", F.regexp_count("left", F.lit(pattern)).alias(f"n_{k}")).withColumn("left", F.regexp_replace("left", pattern, "#"))
-    names = list(dict.fromkeys(name for name, _ in RULES))
+    names = list(dict.fromkeys(name for name, _ in RULES if name))
     total = lambda name: sum((F.col(f"n_{k}") for k, (n, _) in enumerate(RULES) if n == name), F.lit(0))
     by_licence = F.array(*[F.struct(F.lit(n).alias("licence"), total(n).cast("long").alias("matches")) for n in names])
     return rows.select("doc_id", F.inline(by_licence), "identifiers").where("matches > 0")
@@ -151,7 +153,7 @@ def check_sql() -> str:
             f"(SELECT * EXCLUDE (rest), len(regexp_extract_all(rest, {quote(pattern)})) AS n_{k}, "
             f"regexp_replace(rest, {quote(pattern)}, '#', 'g') AS rest FROM {rules})"
         )
-    counts = " UNION ALL ".join(f"SELECT r, doc_id, identifiers, {quote(n)} AS licence, n_{k} AS n FROM matched" for k, (n, _) in enumerate(RULES))
+    counts = " UNION ALL ".join(f"SELECT r, doc_id, identifiers, {quote(n)} AS licence, n_{k} AS n FROM matched" for k, (n, _) in enumerate(RULES) if n)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '{BREAK}') AS parts
   FROM documents WHERE regexp_matches(translate(text, '{UPPER}', '{LOWER}'), '{CLUES}')),
