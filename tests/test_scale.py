@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clausegrid.functions.scan import running_last, running_previous, running_totals
+from clausegrid.functions.scan import hot_slots, running_last, running_previous, running_totals
 from clausegrid.operators import assessment as A
 from clausegrid.operators import evaluation as E
+from clausegrid.plans.corpora import Corpora
 from clausegrid.sources import ingest, jsonl, manifests
 
 
@@ -147,3 +148,31 @@ def test_stream_ingest_decides_against_what_is_stored(spark, tmp_path):
     assert run() == {1: "ingested", 2: "skipped"}
     spark.createDataFrame([(3, "s3", "n1", True), (4, "s4", "n4", True)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == {1: "ingested", 2: "skipped", 3: "conflict", 4: "ingested"}
+
+
+@pytest.mark.parametrize("rows", [0, 100, 10**6])
+def test_running_totals_that_cut_hot_slots_only(spark, rows):
+    data = skewed()
+    df = spark.createDataFrame(data, "k int, i int, v long, s string")
+    hot = hot_slots(df, ["k"], rows)
+    assert bool(hot) == (rows < 10**6)
+    got = running_totals(df, ["k"], {"range": F.expr("i div 37")}, ["i"], {"through": F.col("v")}, hot)
+    seen, want = {}, {}
+    for k, i, v, _ in data:
+        seen[k] = want[i] = seen.get(k, 0) + v
+    assert {r.i: r.through for r in got.collect()} == want
+
+
+def test_lines_of_an_order_are_shuffled_by_the_order_once(spark):
+    c = Corpora(spark, "/root/testdata/sf0.001")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (c.paragraphs, c.obligations, c.findings)]
+    assert not any("Join" in plan or "Window" in plan or "Aggregate" in plan for plan in plans)
+
+
+def test_offsets_of_a_circular_whose_lines_are_cut_into_ranges(spark, monkeypatch):
+    from clausegrid.plans import corpora
+
+    plain = {tuple(r) for r in Corpora(spark, "/root/testdata/sf0.001").paragraphs.collect()}
+    monkeypatch.setattr(corpora, "_WRITTEN", {})
+    monkeypatch.setattr(corpora, "hot_slots", lambda df, keys: list(range(0, 4096, 2)))
+    assert {tuple(r) for r in Corpora(spark, "/root/testdata/sf0.001").paragraphs.collect()} == plain
