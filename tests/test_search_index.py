@@ -110,3 +110,10 @@ def test_bound_holds_and_saves_reading(spark):
     got = hits(two_looks(candidates, score, 3, first=4))
     assert got == hits(R.lexical_topk(queries, index_text(chunks), 3))
     assert sum(looks) < 0.8 * candidates.count()
+
+
+def test_queries_are_the_ids_divisible_by_100_against_every_vector(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["dense_topk_indexed"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.query_id % 100 for r in found} == {0} and any(r.chunk_id % 100 for r in found)
