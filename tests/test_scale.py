@@ -176,3 +176,16 @@ def test_offsets_of_a_circular_whose_lines_are_cut_into_ranges(spark, monkeypatc
     monkeypatch.setattr(corpora, "_WRITTEN", {})
     monkeypatch.setattr(corpora, "hot_slots", lambda df, keys: list(range(0, 4096, 2)))
     assert {tuple(r) for r in Corpora(spark, "/root/testdata/sf0.001").paragraphs.collect()} == plain
+
+
+def test_pairs_of_few_distinct_texts_are_not_shuffled(spark):
+    tasks = [(i, i, 1, f"Agent {i} shall deliver the green widget within {i % 9} days.", 5 * i) for i in range(300)]
+    tasks = spark.createDataFrame(tasks, "assessment_id long, obligation_id long, policy_pack_id long, text string, char_start long")
+    body = "### A.%d Delivery of green widget\n\nThe desk shall keep green widget stock for %d days."
+    clauses = [(i, 1, f"A.{i}", body % (i, i), 100 * i) for i in range(40)]
+    clauses = spark.createDataFrame(clauses, "id long, policy_pack_id long, clause_number string, text string, char_start long")
+    pairs, unmatched = A.candidate_pairs(tasks, clauses)
+    plan = A.judge_pairs(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    whole = [r.asDict() for r in A.judge_pairs(pairs).select("assessment_id", "policy_clause_id", "impact_type").collect()]
+    assert len(whole) == 900 and {r["policy_clause_id"] for r in whole} == {0, 1, 2} and unmatched.count() == 0
