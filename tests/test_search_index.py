@@ -117,3 +117,13 @@ def test_queries_are_the_ids_divisible_by_100_against_every_vector(spark):
 
     found = entry.queries()["dense_topk_indexed"](spark, "/root/testdata/sf0.001").collect()
     assert {r.query_id % 100 for r in found} == {0} and any(r.chunk_id % 100 for r in found)
+
+
+def test_exclusions_read_blocks_only(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    def whole(*_):
+        raise AssertionError("the whole posting table is joined")
+
+    monkeypatch.setattr(R, "matching_chunks", whole)
+    assert entry.queries()["temporal_exclusions"](spark, "/root/testdata/sf0.001").columns == ["query_id", "circular_id"]
