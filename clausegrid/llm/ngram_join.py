@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import stored
+from clausegrid.llm.common import alone, stored
 from clausegrid.llm.components import components
 from clausegrid.llm.shingles import digest, list_array, shingle_set, text_bytes
 
@@ -132,18 +132,21 @@ def _prefixes(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFra
     common = live.where(F.col("held") > COMMON)
     if common.isEmpty():
         return live.where(F.col("pos") < length).select("hash", "row")
-    # Sets with common shingles among their least ones: how many of those stand before each place.
-    passed = stored(common.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("passed"), F.first("n").alias("size")), "common")
-    sized = passed.join(points.select("row", F.size("least").alias("stored")), "row")
-    short = stored(
-        sized.where(F.col("stored") - F.size("passed") < prefix_length_column("size")).select("row", "size"), "short"
+    # Sets with common shingles among their least ones: how many of those stand before each place, and whether
+    # those that are left are too few, which is marked here, so that entries need not be joined with it again.
+    passed = common.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("passed"), F.first("n").alias("size"))
+    passed = stored(
+        passed.join(points.select("row", F.size("least").alias("stored")), "row").select(
+            "row", "passed", "size", (F.col("stored") - F.size("passed") < prefix_length_column("size")).alias("short")
+        ),
+        "common",
     )
+    short = passed.where("short").select("row", "size")
     before = lambda: F.size(F.filter(F.coalesce("passed", F.array()), lambda x: x < F.col("pos")))
     plain = (
         live.where(F.col("held") <= COMMON)
-        .join(passed.select("row", "passed"), "row", "left")
-        .where(F.col("pos") - before() < length)
-        .join(short.select("row"), "row", "left_anti")
+        .join(passed.select("row", "passed", "short"), "row", "left")
+        .where(~F.coalesce("short", F.lit(False)) & (F.col("pos") - before() < length))
         .select("hash", "row")
     )
     # Sets that consist of common shingles for the most part: the order over all of their shingles.
@@ -368,9 +371,14 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = members.where("n > 0 AND row <> rep").select("row")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     points = filled.join(F.broadcast(copies) if few else copies, "row", "left_anti").select("row", "n", "least", "point")
-    buckets = stored(_prefixes(docs, points, members), "buckets")
-    sizes = buckets.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
-    buckets = stored(_distinct_buckets(buckets.join(sizes, "hash")), "met")
+    spark = docs.sparkSession
+
+    def met() -> DataFrame:
+        buckets = stored(_prefixes(docs, points, members), "buckets")
+        sizes = buckets.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
+        return _distinct_buckets(buckets.join(sizes, "hash"))
+
+    buckets = alone(spark, met, "met")
     wanted = stored(buckets.groupBy("row").agg(F.count("*").alias("degree")), "wanted")
     reps = members.where("row = rep").select("row", "doc_id", "set")
     light = stored(points.select("row", "n", "point").join(wanted.select("row"), "row"), "points")
@@ -384,18 +392,18 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "star")
         tested = pairs if tested is None else tested.union(pairs)
-        new = stored(_verified(_hopeful(pairs, light), docs, reps), "links")
+        new = alone(spark, lambda pairs=pairs: _verified(_hopeful(pairs, light), docs, reps), "links")
         if k and new.isEmpty():
             break
         links = new if links is None else links.union(new)
-        roots = stored(components(links), "roots")
+        roots = alone(spark, lambda links=links: components(links), "roots")
         labelled = _apart(buckets.where("held > 2"), roots)
     mixed = labelled.join(light, "row").select("hash", "held", "row", "n", "point", "root")
     rest = _indexed_pairs(mixed).join(tested, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, docs, reps), "links")
+    more = alone(spark, lambda: _verified(rest, docs, reps), "links")
     if more.isEmpty():
         return members, roots
-    return members, stored(components(links.union(more)), "roots")
+    return members, alone(spark, lambda: components(links.union(more)), "roots")
 
 
 def _distinct_buckets(buckets: DataFrame) -> DataFrame:
@@ -456,7 +464,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words stay. Of several rows with that same id one stays; of a group with null ids
     alone, one. Texts are not shuffled unless more than ``BROADCAST_IDS`` documents go.
     """
-    classed = stored(_classed(docs), "classed")
+    classed = alone(docs.sparkSession, lambda: _classed(docs), "classed")
     twice = classed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 OR doc_id IS NULL").select("doc_id")
     twice = stored(twice, "repeated")
     gone = classed.where("root IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clausegrid.llm import bpe, mixing, ngram_join, quality, secret_scan
-from clausegrid.llm.common import stored, table
+from clausegrid.llm.common import alone, table
 from clausegrid.llm.queries import VOCABULARY
 
 
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    """All stages over ``documents``, each written to the shared folder and read by the next.
+
+    What a stage stores on its way is removed when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

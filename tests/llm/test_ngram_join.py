@@ -78,3 +78,22 @@ def test_tree_finds_what_the_bound_allows():
         and np.minimum(counts[i], counts[j]).sum() >= nj.needed(sizes[i] + sizes[j])
     }
     assert found == want
+
+
+def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    from clausegrid.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{len(os.listdir(tmp_path))}-{os.urandom(4).hex()}")
+    monkeypatch.setattr(nj, "COMMON", 8)
+    rows = list(enumerate(corpus(3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in common.alone(spark, lambda: nj.similar_documents(docs), "result").collect()}
+    assert len(found) == len(rows)
+    assert {name.split("-")[0] for name in os.listdir(tmp_path)} == {"result"}
+    # While it runs, entries, buckets and whole sets go as soon as what follows from them is written.
+    members, roots = nj._linked(docs)
+    left = {name.split("-")[0] for name in os.listdir(tmp_path)}
+    assert not left & {"shared", "live", "common", "extra", "theirs", "buckets", "hopeful", "sets", "edges"}
+    assert members.count() == len(rows) and roots.count()
