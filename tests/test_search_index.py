@@ -5,8 +5,8 @@ import pytest
 
 from clausegrid.operators import retrieval as R
 from clausegrid.operators import vector_index as V
-from clausegrid.operators.indexing import index_text
-from clausegrid.operators.lexical_index import block_postings, candidate_blocks, read_blocks
+from clausegrid.operators.indexing import embed_texts, index_text
+from clausegrid.operators.lexical_index import block_postings, candidate_blocks, index_blocks, read_blocks
 
 
 def clustered(n, clusters, dim=24, spread=0.05, seed=4):
@@ -86,6 +86,47 @@ def test_blocks_give_the_same_hits(spark, block):
     assert hits(R.lexical_topk(queries, blocks, 5)) == hits(R.lexical_topk(queries, postings, 5))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_blocks_made_of_texts_without_a_shuffle_give_the_same_hits(spark, block):
+    texts = words(700) + [(700, None), (701, ""), (702, "The of and"), (703, "bast-like " * 3000)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    postings = index_text(chunks)
+    blocks = index_blocks(chunks, block)
+    assert "Exchange" not in plan_of(index_blocks(spark.createDataFrame(texts, "chunk_id long, text string")))
+    entries = blocks.select("term", "block", "n", "max_count", R.F.explode(R.F.arrays_zip("ids", "positions")).alias("e"))
+    want = sorted(tuple(r) for r in postings.select("term", "chunk_id", "positions").collect())
+    assert sorted(tuple(r) for r in entries.select("term", "e.ids", "e.positions").collect()) == want
+    assert blocks.where("n <> size(ids) OR max_count <> array_max(transform(positions, p -> size(p)))").count() == 0
+    assert entries.groupBy("block").agg(R.F.count_distinct("e.ids").alias("n")).where(f"n > {block}").count() == 0
+    asked = [(i, " ".join(texts[i * 7][1].split()[:k])) for i, k in zip(range(60), [1, 2, 3, 4, 5] * 12)]
+    asked += [(90, "unknownword " + texts[0][1]), (91, ""), (92, None), (93, texts[3][1])]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    assert hits(R.lexical_topk(queries, blocks.persist(), 5)) == hits(R.lexical_topk(queries, postings, 5))
+
+
+def test_texts_are_encoded_where_they_are_read(spark):
+    from collections import Counter
+
+    from clausegrid.functions import text as T
+    from clausegrid.functions.ranking import hash_draw
+
+    texts = words(60) + [(60, None), (61, ""), (62, "The of and")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    got = embed_texts(chunks, "chunk_id", 16)
+    assert "Exchange" not in plan_of(got)
+    drawn = chunks.select("chunk_id", R.F.transform(T.term_occurrences(R.F.col("text")), lambda t: hash_draw(t, R.F.lit(16))).alias("slots"))
+    want = {}
+    for r in drawn.where("size(slots) > 0").collect():
+        tf = Counter(r.slots)
+        norm = sum(v * v for v in tf.values()) ** 0.5
+        want[r.chunk_id] = [tf[i] / norm for i in range(16)]
+    assert {r.chunk_id: r.vector for r in got.collect()} == want and len(want) == 60
+
+
 def test_bound_holds_and_saves_reading(spark):
     # One text in forty is ten times as long: blocks without one cannot reach the best scores. Where all texts
     # are alike the bound saves little.
