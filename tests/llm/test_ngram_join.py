@@ -97,3 +97,14 @@ def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
     left = {name.split("-")[0] for name in os.listdir(tmp_path)}
     assert not left & {"shared", "live", "common", "extra", "theirs", "buckets", "hopeful", "sets", "edges"}
     assert members.count() == len(rows) and roots.count()
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    from clausegrid.llm.common import stored
+
+    # What was shuffled before is none of this query's.
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = set(map(str, tracker.shuffleStatuses().keys().mkString(",").split(",")))
+    counted = stored(spark.range(100_000).selectExpr("id % 1000 AS k").groupBy("k").count(), "counted")
+    after = set(map(str, tracker.shuffleStatuses().keys().mkString(",").split(",")))
+    assert after <= before and counted.count() == 1000
