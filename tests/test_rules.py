@@ -1,6 +1,7 @@
 """Literal cases for the text rules, fusion, agreement and budgets."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,38 @@ def test_constraints_of_states_and_sequences(spark):
         ("step status is unknown", "3"),
         ("supersession type is unknown", "2"),
     ]
+
+
+def plain_quote(quote, source):
+    """The published rule in plain Python: the stripped quote itself, else its words with any blanks between."""
+    body = (quote or "").strip()
+    if not body or not source:
+        return None
+    if body in source:
+        return source.index(body), source.index(body) + len(body)
+    hit = re.search(r"\s+".join(map(re.escape, body.split())), source)
+    return None if hit is None else (source.index(hit.group()), source.index(hit.group()) + len(hit.group()))
+
+
+def test_quotes_agree_with_the_plain_rule(spark):
+    sources = ["a b\nc d", "a  b c d a b c", "\U0001f600 a\t\n b.", "x (a.b)  y\\E z", "ab c", " a b ", "", None, "b c a b\n\nc"]
+    quotes = ["a b", "b c", " b  c\n", "a b", "c d", "a.b", "(a.b) y\\E z", "y \\E", "a b c", "", "  ", None, "d a", "\U0001f600 a b."]
+    rows = spark.createDataFrame([(q, s) for q in quotes for s in sources], "q string, s string").select(
+        "q", "s", T.resolve_quote(F.col("q"), F.col("s")).alias("v")
+    )
+    for q, s, v in rows.collect():
+        assert (None if v is None else (v.start, v.end)) == plain_quote(q, s), (q, s)
+
+
+def test_an_answer_is_read_once(spark):
+    schema = "id long, answer string, source string, base_offset long, tokens_in int, tokens_out int, cost_usd double"
+    item = '{"obligations": [{"text": "%s", "modality": "shall"}, {"text": "nowhere to be found"}]}'
+    rows = [(1, item % "must  file it", "We must\\nfile it", 10, 1, 2, 0.5), (2, "no json", "x", 0, 1, 2, 0.5), (3, item % "short", "short", 0, 1, 2, None), (4, None, "x", 0, 1, 2, 0.5)]
+    found, report = X.validate_extractions(spark.createDataFrame(rows, schema), ["id"])
+    for df in (found, report):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r.id, r.char_start, r.char_end) for r in found.collect()] == []
+    rows[0] = (1, item % "must  file it", "We must\nfile it", 10, 1, 2, 0.5)
+    found, report = X.validate_extractions(spark.createDataFrame(rows, schema), ["id"])
+    assert [(r.id, r.text, r.char_start, r.char_end) for r in found.collect()] == [(1, "must  file it", 13, 25)]
+    assert report.first() == (4, 3, 1, 1, 4, 8, None)
