@@ -168,3 +168,22 @@ def test_exclusions_read_blocks_only(spark, monkeypatch):
 
     monkeypatch.setattr(R, "matching_chunks", whole)
     assert entry.queries()["temporal_exclusions"](spark, "/root/testdata/sf0.001").columns == ["query_id", "circular_id"]
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "dense_topk_indexed", "dense_topk_hashed"])
+def test_every_vector_is_a_query(spark, name):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    every = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in entry.queries()[name](spark, folder).select("query_id").collect()} == every
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "dense_topk_indexed"])
+def test_the_sql_of_searches_asks_for_every_vector(name):
+    import __spark_entry__ as entry
+    from checking import connect
+
+    con = connect("/root/testdata/sf0.001")
+    asked = con.execute(f"SELECT count(DISTINCT query_id) FROM ({entry.oracle_sql()[name]})").fetchone()
+    assert asked == con.execute("SELECT count(*) FROM embeddings").fetchone()
