@@ -187,3 +187,13 @@ def test_the_sql_of_searches_asks_for_every_vector(name):
     con = connect("/root/testdata/sf0.001")
     asked = con.execute(f"SELECT count(DISTINCT query_id) FROM ({entry.oracle_sql()[name]})").fetchone()
     assert asked == con.execute("SELECT count(*) FROM embeddings").fetchone()
+
+
+def test_second_look_gives_only_what_can_be_among_the_best(spark):
+    rows = clustered(400, 4)
+    left = spark.createDataFrame([(0, i, v, 0.999 if i else None) for i, v in rows[:2]], "cell int, query_id long, vector array<double>, worst double")
+    right = spark.createDataFrame([(0, i, v) for i, v in rows], "cell int, chunk_id long, vector array<double>")
+    every = {(q, c): s for q, c, s in R.best_of_cells(left.drop("worst"), right, ["cell"], 100, cut=False).collect()}
+    near = {(q, c): s for q, c, s in R.best_of_cells(left, right, ["cell"], 100, cut=False).collect()}
+    assert near == {k: s for k, s in every.items() if k[0] == 0 or s >= 0.999}
+    assert 0 < sum(q for q, _ in near) < 100 == sum(q for q, _ in every)
