@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -15,6 +17,8 @@ from clausegrid.functions import text as T
 
 REQUIRED = ("circular_number", "title", "issue_date", "department", "doc_type", "source_url", "pdf_filename")
 OPTIONAL = ("page_url", "retrieved_on", "sha256", "note")
+#: Bytes of a file that a task holds while hashing it.
+HASHED_AT_ONCE = 1 << 20
 MANIFEST = S.StructType([S.StructField(name, S.StringType()) for name in REQUIRED + OPTIONAL])
 
 
@@ -44,26 +48,60 @@ def manifest_sink(entries: DataFrame, path: str) -> None:
 
 
 def document_scan(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Files under ``path`` with size and checksum; contents are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("checksum")
-    )
+    """Files under ``path`` and in its folders with size and checksum, empty ones too.
+
+    The driver sees the folders only: each is listed in a task, and the files are dealt over tasks that hash them
+    in pieces. Names that begin with a dot or an underscore are no documents.
+    """
+    system, root = pafs.FileSystem.from_uri(path)
+    inside = [f.path for f in system.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                files = [f for f in system.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.File]
+                names = [f.path for f in files if fnmatchcase(f.base_name, glob) and f.base_name[0] not in "._"]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            sizes, sums = [], []
+            for name in batch.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(name, compression=None) as content:
+                    while piece := content.read(HASHED_AT_ONCE):
+                        digest.update(piece)
+                        size += len(piece)
+                sizes.append(size)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["path", "bytes", "checksum"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(f,) for f in [root, *inside]], "folder string").repartition(min(parts, len(inside) + 1))
+    files = folders.mapInArrow(listed, "path string").repartition(parts, "path").mapInArrow(hashed, "path string, bytes long, checksum string")
+    return files.select(F.substring_index("path", "/", -1).alias("filename"), "bytes", "checksum")
 
 
 def write_files(files: DataFrame, path: str) -> None:
     """(filename, content): every row becomes a file under ``path``, in the task that holds it.
 
-    Each file is written under a name of its attempt and moved into place, so that one that is written
+    A filename may begin with a folder. Each file is written under a name of its attempt and moved into place, so that one that is written
     again after a failure is whole and there once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
+        made = {""}
         for batch in batches:
             for name, content in zip(batch.column("filename").to_pylist(), batch.column("content").to_pylist()):
-                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                folder, slash, base = name.rpartition("/")
+                if folder not in made:
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                part = f"{root}/{folder}{slash}.{base}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part, compression=None) as out:
                     out.write(content or b"")
                 system.move(part, f"{root}/{name}")

@@ -189,3 +189,28 @@ def test_pairs_of_few_distinct_texts_are_not_shuffled(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     whole = [r.asDict() for r in A.judge_pairs(pairs).select("assessment_id", "policy_clause_id", "impact_type").collect()]
     assert len(whole) == 900 and {r["policy_clause_id"] for r in whole} == {0, 1, 2} and unmatched.count() == 0
+
+
+def test_empty_and_missing_texts_are_scanned_too(spark, tmp_path):
+    from checking import differences
+
+    import __spark_entry__ as entry
+
+    rows = [(1, ""), (2, None), (3, "plain"), (4, "aé\U0001f600"), (None, "unnamed"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = "SELECT 'doc_' || doc_id || '.pdf' AS filename, strlen(text) AS bytes, sha256(text) AS checksum FROM documents"
+    assert differences(entry.queries()["document_scan"](spark, str(tmp_path)), con, sql) is None
+
+
+def test_files_in_folders_are_scanned_and_hidden_ones_are_not(spark, tmp_path):
+    import hashlib
+
+    manifests.write_files(spark.createDataFrame([("x/a.pdf", b"one"), ("y/b.pdf", b""), ("c.pdf", b"x" * (3 << 20)), ("x/d.txt", b"no")], "filename string, content binary"), str(tmp_path))
+    (tmp_path / "x" / ".e.pdf").write_bytes(b"part")
+    found = {(r.filename, r.bytes, r.checksum) for r in manifests.document_scan(spark, str(tmp_path)).collect()}
+    want = {"a.pdf": b"one", "b.pdf": b"", "c.pdf": b"x" * (3 << 20)}
+    assert found == {(k, len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
