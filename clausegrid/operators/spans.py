@@ -57,28 +57,32 @@ def highlight_segments(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, D
 
     Inputs: (parent_id, text, text_start) and (parent_id, span_id, start, end), offsets absolute.
     Of the spans opening at one position only the shortest can be kept, so they are reduced to
-    one per position before a parent's spans meet; their number is bounded by the text.
+    one per position before a parent's spans meet; their number is bounded by the text. Joins sort
+    both sides: the frames of texts look small to the planner, but there are as many as texts.
     """
     frames = texts.select(
         "parent_id", "text_start", F.length("text").alias("size"), F.col("text").alias("__text")
     )
-    local = spans.join(frames.drop("__text"), "parent_id").select(
-        "parent_id",
-        "span_id",
-        (F.col("start") - F.col("text_start")).cast("int").alias("s"),
-        (F.col("end") - F.col("text_start")).cast("int").alias("e"),
-        "size",
-    )
+    opened = spans.where("start < end").groupBy("parent_id", "start").agg(F.min(F.struct("end", "span_id")).alias("best"))
+
+    def local(rows: DataFrame, end: str, span_id: str) -> DataFrame:
+        return rows.join(frames.drop("__text").hint("merge"), "parent_id").select(
+            "parent_id",
+            F.col(span_id).alias("span_id"),
+            (F.col("start") - F.col("text_start")).cast("int").alias("s"),
+            (F.col(end) - F.col("text_start")).cast("int").alias("e"),
+            "size",
+        )
+
     fits = (F.col("s") >= 0) & (F.col("e") <= F.col("size")) & (F.col("s") < F.col("e"))
-    outside = local.where(~fits).select("parent_id", "span_id")
+    outside = local(spans, "end", "span_id").where(~fits).select("parent_id", "span_id")
     shortest = (
-        local.where(fits)
-        .groupBy("parent_id", "s")
-        .agg(F.min(F.struct("e", "span_id")).alias("best"))
+        local(opened, "best.end", "best.span_id")
+        .where(fits)
         .groupBy("parent_id")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "best.e", "best.span_id"))).alias("spans"))
+        .agg(F.array_sort(F.collect_list(F.struct("s", "e", "span_id"))).alias("spans"))
     )
-    joined = frames.join(shortest, "parent_id", "left").withColumn(
+    joined = frames.join(shortest.hint("merge"), "parent_id", "left").withColumn(
         "spans",
         F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,span_id:string>>")),
     )

@@ -214,3 +214,17 @@ def test_files_in_folders_are_scanned_and_hidden_ones_are_not(spark, tmp_path):
     found = {(r.filename, r.bytes, r.checksum) for r in manifests.document_scan(spark, str(tmp_path)).collect()}
     want = {"a.pdf": b"one", "b.pdf": b"", "c.pdf": b"x" * (3 << 20)}
     assert found == {(k, len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
+
+
+def test_highlighting_sends_no_places_of_texts_to_the_driver(spark):
+    from clausegrid.operators.spans import highlight_segments
+
+    texts = spark.createDataFrame([(1, "abcdefghij", 100), (2, "klm", 0), (3, "", 7)], "parent_id long, text string, text_start long")
+    marks = [(1, "a", 102, 104), (1, "b", 102, 109), (1, "c", 103, 105), (1, "d", 99, 101), (1, "e", 104, 111), (2, "f", 0, 3), (2, "g", 2, 2), (3, "h", 7, 8), (1, "i", 109, 110)]
+    spans = spark.createDataFrame(marks, "parent_id long, span_id string, start long, end long")
+    segments, outside = highlight_segments(texts, spans)
+    for part in (segments, outside):
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.parent_id, r.segment, r.text, r.span_id) for r in segments.collect()) == [
+        (1, 0, "ab", None), (1, 1, "cd", "a"), (1, 2, "efghi", None), (1, 3, "j", "i"), (2, 0, "klm", "f")]
+    assert sorted(r.span_id for r in outside.collect()) == ["d", "e", "g", "h"]
