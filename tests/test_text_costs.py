@@ -81,3 +81,28 @@ def test_the_sentence_of_a_limit_is_looked_for_once(spark):
     rows = spark.createDataFrame([("Pay the fee within 5 days.",)], "obligation_text string").repartition(1)
     plan = A.obligation_features(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(K.CLAUSE_SENTENCE) <= 2
+
+
+def test_spans_of_extractions_meet_once(spark, monkeypatch):
+    from clausegrid.operators import evaluation as E
+
+    plans, cut = [], E.cut_lineage
+    monkeypatch.setattr(E, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    rows = spark.createDataFrame([(1, 7, "the agents", 0, 20), (2, 7, "Agent", 10, 30), (3, 7, "", 0, 40), (4, 8, "agency", 0, 9)], "id long, circular_id long, actor string, char_start long, char_end long")
+    found = E.match_extractions(rows, rows.withColumn("id", F.col("id") + 10))
+    assert sorted((r.pred_id, r.label_id) for r in found.collect()) == [(1, 11), (2, 12), (4, 14)]
+    assert sum("Generate" in plan for plan in plans) == 1
+
+
+@pytest.mark.parametrize("supplier, actor", [(5, "Supplier 5"), (-5, "")])
+def test_actors_of_obligations(spark, tmp_path, supplier, actor):
+    from clausegrid.plans.corpora import Corpora
+
+    given = spark.createDataFrame([(1, supplier, "N", "ring", 3.0, 1, 90)], "l_orderkey long, l_suppkey long, l_returnflag string, p_name string, l_quantity double, item_no long, char_end long")
+
+    class Given(Corpora):
+        items = property(lambda self: given)
+
+    found = Given(spark, str(tmp_path)).obligations.first()
+    assert (found.actor, found.text) == (actor, f"Supplier {supplier} may deliver the ring lot within 3 days of each request.")
+    assert (found.char_start, found.char_end) == (90 - len(found.text), 90)
