@@ -225,7 +225,7 @@ def snapshot_export(
     findings: DataFrame,
     assessments: DataFrame,
     circulars: DataFrame,
-    obligations: DataFrame,
+    obligations: DataFrame | None,
     packs: DataFrame,
     clauses: DataFrame,
     runs: DataFrame,
@@ -234,7 +234,9 @@ def snapshot_export(
 
     ``runs`` (assessment_id, provider, model, graph_version) says what made the findings.
     Rows are flat until the last projection; the JSON text has its keys sorted and the hash is
-    taken over that text. Quotes come from the obligation and the clause the spans lie in.
+    taken over that text. Quotes come from the obligation and the clause the spans lie in. Without
+    ``obligations`` the findings carry obligation_text and obligation_start. What belongs to an
+    assessment is put together first, so findings meet it, and their clauses, once.
     """
     a = assessments.where(F.col("status").isin(*K.TERMINAL_STATUSES)).select(
         F.col("id").alias("assessment_id"), "run_id", F.col("status").alias("run_status"), "circular_id", "policy_pack_id"
@@ -242,9 +244,6 @@ def snapshot_export(
     k = circulars.select(
         F.col("id").alias("circular_id"), "circular_number", "title", "source_url", "checksum"
     )
-    o = obligations.select(
-        F.col("id").alias("obligation_id"), F.col("text").alias("obligation"), F.col("char_start").alias("__os")
-    )
     g = packs.select(F.col("id").alias("policy_pack_id"), F.col("name").alias("pack"), "version")
     c = clauses.select(
         F.col("id").alias("policy_clause_id"), "clause_number", F.col("heading").alias("heading"), F.col("text").alias("clause_text")
@@ -254,14 +253,15 @@ def snapshot_export(
         & F.col("circular_span_start").isNotNull()
         & F.col("policy_clause_id").isNotNull()
     )
-    rows = (
-        located.join(a, "assessment_id")
-        .join(k, "circular_id")
-        .join(o, "obligation_id")
-        .join(g, "policy_pack_id")
-        .join(c, "policy_clause_id")
-        .join(runs, "assessment_id")
-    )
+    if obligations is None:
+        located = located.withColumnsRenamed({"obligation_text": "obligation", "obligation_start": "__os"})
+    else:
+        o = obligations.select(
+            F.col("id").alias("obligation_id"), F.col("text").alias("obligation"), F.col("char_start").alias("__os")
+        )
+        located = located.join(o, "obligation_id")
+    shown = a.join(runs, "assessment_id").join(k, "circular_id").join(g, "policy_pack_id").drop("circular_id", "policy_pack_id")
+    rows = located.join(shown, "assessment_id").join(c, "policy_clause_id")
     by_rule = F.col("provider") == "deterministic"
     start = (F.col("circular_span_start") - F.col("__os")).cast("int")
     end = (F.col("circular_span_end") - F.col("__os")).cast("int")
@@ -303,6 +303,8 @@ def upsert_candidates(stored: DataFrame, fresh: DataFrame) -> tuple[DataFrame, D
     columns = fresh.columns
     both = stored.select(*columns, F.lit(0).alias("__new")).unionByName(fresh.select(*columns, F.lit(1).alias("__new")))
     merged = first_per_key(both, ["record_id"], [F.col("__new").desc()]).drop("__new")
+    # Counting needs the hashes only.
+    fresh = fresh.select("record_id", "snapshot_sha256")
     old = stored.select("record_id", F.col("snapshot_sha256").alias("__was"))
     report = fresh.join(old, "record_id", "left").agg(
         F.count("*").alias("exported"), F.count_if(F.col("__was") != F.col("snapshot_sha256")).alias("replaced")

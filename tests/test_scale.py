@@ -228,3 +228,23 @@ def test_highlighting_sends_no_places_of_texts_to_the_driver(spark):
     assert sorted((r.parent_id, r.segment, r.text, r.span_id) for r in segments.collect()) == [
         (1, 0, "ab", None), (1, 1, "cd", "a"), (1, 2, "efghi", None), (1, 3, "j", "i"), (2, 0, "klm", "f")]
     assert sorted(r.span_id for r in outside.collect()) == ["d", "e", "g", "h"]
+
+
+def test_the_export_is_made_once_for_its_report(spark):
+    import __spark_entry__ as entry
+
+    report = entry.queries()["upsert_report"](spark, "/root/testdata/sf0.001")
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert "obligation" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_export_without_obligations_is_the_same(spark):
+    from clausegrid.operators import ledger as L
+    from clausegrid.plans.corpora import Corpora
+
+    c = Corpora(spark, "/root/testdata/sf0.001")
+    runs = c.assessments.select(F.col("id").alias("assessment_id"), F.lit("remote").alias("provider"), F.lit("m").alias("model"), F.lit("g").alias("graph_version"))
+    texts = c.obligations.select(F.col("id").alias("obligation_id"), F.col("text").alias("obligation_text"), F.col("char_start").alias("obligation_start"))
+    export = lambda findings, obligations: {tuple(r) for r in L.snapshot_export(findings, c.assessments, c.circulars, obligations, c.packs, c.clauses, runs).collect()}
+    carried = export(c.findings.join(texts, "obligation_id"), None)
+    assert carried == export(c.findings, c.obligations) and len(carried) > 100
